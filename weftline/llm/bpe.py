@@ -34,55 +34,95 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-_SPLIT = "block long, part int, n long, raw long, data binary, raw2 long, data2 binary"
-
-
-def _split(texts_at: int, parts: int, block_chars: int):
-    """Blocks of documents: one row with ids and word positions (part -1), and a row for each part of the block's dictionary."""
-
-    def rows(block: int, keys: pa.RecordBatch, split: list[list[str]]) -> Iterator[tuple]:
-        at: dict[str, int] = {}
-        index = [np.fromiter((at.setdefault(w, len(at)) for w in ws), np.uint32, len(ws)) for ws in split]
-        names = list(at)
-        part_of = np.fromiter((zlib.crc32(w.encode()) % parts for w in names), np.int64, len(names))
-        order = np.argsort(part_of, kind="stable")  # a word's number is its place in this order
-        number = np.empty(len(names), np.uint32)
-        number[order] = np.arange(len(names), dtype=np.uint32)
-        flat = number[np.concatenate(index)] if names else np.empty(0, np.uint32)
-        positions = np.array([len(ws) for ws in split], "<u4").tobytes() + flat.astype("<u4" if len(names) > 1 << 16 else "<u2").tobytes()
-        key_bytes = _ipc(keys)
-        yield block, -1, len(names), len(positions), _pack(positions), len(key_bytes), key_bytes
-        bounds = np.searchsorted(part_of[order], np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(bounds)):
-            raw = "\n".join(names[i] for i in order[bounds[p] : bounds[p + 1]]).encode()
-            yield block, int(p), int(bounds[p + 1] - bounds[p]), len(raw), _pack(raw), 0, None
+def _part_of(names: list[str], parts: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) % parts for w in names), np.int64, len(names))
+
+
+def _grouped(names: list[str], parts: int) -> list[tuple[int, bytes, int]]:
+    """(part, its words joined, their number): a dictionary by the words' hashes, in the order of first occurrence."""
+    part_of = _part_of(names, parts)
+    order = np.argsort(part_of, kind="stable")
+    bounds = np.searchsorted(part_of[order], np.arange(parts + 1)).tolist()
+    ordered = [names[i] for i in order.tolist()]
+    return [(p, "\n".join(ordered[bounds[p] : bounds[p + 1]]).encode(), bounds[p + 1] - bounds[p]) for p in range(parts) if bounds[p] < bounds[p + 1]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], texts_at: int, block_chars: int) -> Iterator[tuple[int, pa.RecordBatch, list]]:
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        texts = batch.column(texts_at).to_pylist()
+        for start, end in slices(texts, block_chars):
+            yield block, batch.slice(start, end - start).select(list(range(texts_at))), texts[start:end]
+            block += 1
+
+
+_WORDS = "block long, part int, n long, raw long, data binary"
+
+
+def _dictionaries(texts_at: int, parts: int, block_chars: int):
+    """A row for each block and part of its dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("raw", pa.int64()), ("data", pa.binary()), ("raw2", pa.int64()), ("data2", pa.binary())])
-        for batch in batches:
-            texts = batch.column(texts_at).to_pylist()
-            for start, end in slices(texts, block_chars):
-                found = list(rows(block, batch.slice(start, end - start).select(list(range(texts_at))), [words(t or "") for t in texts[start:end]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-                block += 1
+        for block, _, texts in _blocks(batches, texts_at, block_chars):
+            seen: dict[str, None] = {}
+            for t in texts:
+                seen.update(dict.fromkeys(words(t or "")))
+            rows = [(block, p, n, len(raw), _pack(raw)) for p, raw, n in _grouped(list(seen), parts)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["block", "part", "n", "raw", "data"])
 
     return run
 
 
+_POSITIONS = "block long, n long, check long, data binary, keys binary"
+
+
+def _positions(texts_at: int, parts: int, block_chars: int):
+    """A row for each block: its keys, and the number of the word at each position.
+
+    A word is numbered by its place in its part of the dictionary, then by part, so early and thus frequent words have
+    small numbers; bytes of equal weight stand together, which packs them well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, keys, texts in _blocks(batches, texts_at, block_chars):
+            at: dict[str, int] = {}
+            lengths, index = [], []
+            for t in texts:
+                ws = words(t or "")
+                lengths.append(len(ws))
+                index.append(np.fromiter((at.setdefault(w, len(at)) for w in ws), np.uint32, len(ws)))
+            names = list(at)
+            part_of = _part_of(names, parts)
+            order = np.argsort(part_of, kind="stable")
+            number = np.empty(len(names), np.uint32)
+            number[order] = (np.arange(len(names)) - np.searchsorted(part_of[order], part_of[order])) * parts + part_of[order]
+            flat = number[np.concatenate(index)].astype("<u4") if names else np.empty(0, "<u4")
+            check = sum(zlib.crc32(raw) for _, raw, _ in _grouped(names, parts))
+            raw = np.array(lengths, "<u4").tobytes() + flat.view(np.uint8).reshape(-1, 4).T.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (len(raw), pa.int64()), (check, pa.int64()), (_pack(raw), pa.binary()), (_ipc(keys), pa.binary()))], ["block", "n", "check", "data", "keys"])
+
+    return run
+
+
+_ANSWERS = "block long, part int, n long, raw long, check long, data binary"
+
+
 def _encode(path: str):
     """Each part of the dictionary is one task's: every distinct word of the corpus meets the library once, here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordEncoder(path, id_type(path), most=1 << 62)
+        wide = int(table.dtype[2])
         for batch in batches:
             for row in batch.to_pylist():
-                ws = _unpack(row["data"], row["raw"]).decode().split("\n")
-                table.add([w for w in dict.fromkeys(ws) if w not in table.known])
+                text = _unpack(row["data"], row["raw"])
+                ws = text.decode().split("\n")
+                table.add({w for w in ws if w not in table.known})
                 ids = [table.known[w] for w in ws]
-                sizes = np.array([len(x) // int(table.dtype[2]) for x in ids], "<u4").tobytes()
-                raw = sizes + b"".join(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((row["block"], pa.int64()), (row["part"], pa.int32()), (len(ws), pa.int64()), (len(raw), pa.int64()), (_pack(raw), pa.binary()))], ["block", "part", "n", "raw", "data"])
+                raw = np.array([len(x) // wide for x in ids], "<u4").tobytes() + b"".join(ids)
+                cells = ((row["block"], pa.int64()), (row["part"], pa.int32()), (len(ws), pa.int64()), (len(raw), pa.int64()), (zlib.crc32(text), pa.int64()), (_pack(raw), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in cells], ["block", "part", "n", "raw", "check", "data"])
 
     return run
 
@@ -92,22 +132,30 @@ def decode_ids(ids: np.ndarray, path: str) -> str:
     return " ".join(map(pieces(path).__getitem__, ids.tolist()))
 
 
-def _join(path: str, key_names: list[str], emit):
+def _join(path: str, key_names: list[str], parts: int, emit):
     """Puts ids back where a block's words stood; emit makes the result columns of one document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = left.to_pylist()[0]
-        kind = id_type(path)
+        block, kind = left.to_pylist()[0], id_type(path)
+        wide = int(kind[2])
         known: list[bytes] = []
-        for row in right.sort_by("part").select(["n", "raw", "data"]).to_pylist():
-            raw, n, wide = _unpack(row["data"], row["raw"]), row["n"], int(kind[2])
+        first = np.zeros(parts, np.int64)
+        check = 0
+        for row in right.sort_by("part").select(["part", "n", "raw", "check", "data"]).to_pylist():
+            first[row["part"]] = len(known)
+            check += row["check"]
+            raw, n = _unpack(row["data"], row["raw"]), row["n"]
             ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) * wide + 4 * n
             known += [raw[a:b] for a, b in zip(np.concatenate([[4 * n], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
-        positions = _unpack(block["data"], block["raw"])
-        with pa.ipc.open_stream(block["data2"]) as r:
+        if check != block["check"]:
+            raise ValueError("the input gave other rows when it was read again; checkpoint it first")
+        with pa.ipc.open_stream(block["keys"]) as r:
             keys = r.read_all()
+        positions = _unpack(block["data"], block["n"])
         lengths = np.frombuffer(positions, "<u4", len(keys))
-        flat = np.frombuffer(positions, "<u4" if block["n"] > 1 << 16 else "<u2", offset=4 * len(keys))
+        planes = np.frombuffer(positions, np.uint8, offset=4 * len(keys)).reshape(4, -1)
+        number = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+        flat = first[number % parts] + number // parts
         out, at = [], 0
         for n in lengths.tolist():
             ids = np.frombuffer(b"".join(map(known.__getitem__, flat[at : at + n].tolist())), kind)
@@ -119,17 +167,23 @@ def _join(path: str, key_names: list[str], emit):
     return run
 
 
+def _steady(df: DataFrame) -> DataFrame:
+    """df, checkpointed if it comes out of a shuffle: read twice, it must give the same rows in the same order."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df) if any(x in plan for x in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Limit", "Distinct", "Sample")) else df
+
+
 def _encoded(df: DataFrame, path: str, keys: list[str], text_col: str, emit, schema: str, block_chars: int) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     parts = partitions(spark)
     inner = [f"__k{i}" for i in range(len(keys))]
-    source = df.select(*[F.col(c).alias(k) for c, k in zip(keys, inner, strict=True)], F.col(text_col).alias("__text"))
-    blocks = cut(source.mapInArrow(_split(len(keys), parts, block_chars), _SPLIT))
-    answers = blocks.where("part >= 0").select("block", "part", "raw", "data").repartition(parts, "part").mapInArrow(_encode(path), "block long, part int, n long, raw long, data binary")
-    documents = blocks.where("part = -1")
+    source = _steady(df.select(*[F.col(c).alias(k) for c, k in zip(keys, inner, strict=True)], F.col(text_col).alias("__text")))
+    asked = source.mapInArrow(_dictionaries(len(keys), parts, block_chars), _WORDS).repartition(parts, "part")
+    answers = asked.mapInArrow(_encode(path), _ANSWERS)
+    documents = source.mapInArrow(_positions(len(keys), parts, block_chars), _POSITIONS)
     types = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keys, inner, strict=True))
-    joined = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join(path, inner, emit), f"{types}, {schema}" if types else schema)
+    joined = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join(path, inner, parts, emit), f"{types}, {schema}" if types else schema)
     return joined.select(*[F.col(k).alias(c) for c, k in zip(keys, inner, strict=True)], *emit.names)
 
 
