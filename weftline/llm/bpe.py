@@ -51,7 +51,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], texts_at: int, block_chars: int)
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         texts = batch.column(texts_at).to_pylist()
-        for start, end in slices(texts, block_chars):
+        for start, end in slices([len(t or "") for t in texts], block_chars):
             yield block, batch.slice(start, end - start).select(list(range(texts_at))), texts[start:end]
             block += 1
 
@@ -112,7 +112,7 @@ def _encode(path: str):
     """Each part of the dictionary is one task's: every distinct word of the corpus meets the library once, here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordEncoder(path, id_type(path), most=1 << 62)
+        table = WordEncoder(path, id_type(path))
         wide = int(table.dtype[2])
         for batch in batches:
             for row in batch.to_pylist():

@@ -55,7 +55,7 @@ def merged_count(symbols: str, ranks: dict) -> int:
 class Counter:
     """Counts of whole texts; counts of pieces are kept while they fit the cache."""
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = 2 * CACHE_WORDS):
         self.path, self.most = path, most
         self.ranks, special = merge_ranks(path)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None

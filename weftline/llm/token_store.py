@@ -10,18 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, ship
-from .vocabulary import id_type, slices, word_encoder, words
+from .vocabulary import id_type, slices, stream_encoder
 
 #: Chunk lengths in ids: least, mean beyond the least (a power of two), most; and the ids that a rolling hash spans.
-LEAST, MEAN, MOST, SPAN = 64, 256, 2048, 16
+LEAST, MEAN, MOST, SPAN = 128, 512, 4096, 16
 HASH = 16
 _ENTRY = np.dtype([("hash", f"V{HASH}"), ("n", "<u4")])
 #: Documents of a segment, where there are more than the session's partitions.
@@ -39,24 +41,24 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document. A rolling hash over the last SPAN ids decides, so equal passages cut alike."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    mixed, rolled = _mix(ids), np.zeros(n, np.uint64)
-    for k in range(SPAN):
-        rolled[k:] += mixed[: n - k] << np.uint64(k)
-    wanted = np.flatnonzero((rolled >> np.uint64(20)) % np.uint64(MEAN) == 0) + 1
-    ends, start, at = [], 0, 0
-    while n - start > LEAST:
-        at = int(np.searchsorted(wanted, start + LEAST))
-        end = int(wanted[at]) if at < len(wanted) else n
-        end = min(end, start + MOST, n)
+def boundaries(ids: np.ndarray) -> np.ndarray:
+    """Places after which a rolling hash over the last SPAN ids asks for a cut, so equal passages are cut alike."""
+    mixed, rolled = _mix(ids), np.zeros(len(ids), np.uint64)
+    for k in range(min(SPAN, len(ids))):
+        rolled[k:] += mixed[: len(ids) - k] << np.uint64(k)
+    return np.flatnonzero((rolled >> np.uint64(20)) % np.uint64(MEAN) == 0) + 1
+
+
+def cuts(start: int, end: int, wanted: list[int]) -> list[int]:
+    """Ends of the chunks of the document from start to end, given boundaries. Those of its first LEAST ids never count,
+    so what stands before the document in the same array makes no difference."""
+    ends = []
+    while end - start > LEAST:
+        at = bisect_left(wanted, start + LEAST)
+        start = min(wanted[at] if at < len(wanted) else end, start + MOST, end)
+        ends.append(start)
+    if start < end:
         ends.append(end)
-        start = end
-    if start < n:
-        ends.append(n)
     return ends
 
 
@@ -69,28 +71,30 @@ def _stage(vocabulary: str, end_id: int | None):
     names = ["kind", "doc_id", "n", "hash", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = id_type(vocabulary)
-        encoder, width = word_encoder(vocabulary, dtype), int(dtype[2])
-        tail = b"" if end_id is None else np.array([end_id], dtype).tobytes()
+        encoder = stream_encoder(vocabulary)
+        width = int(encoder.dtype[2])
         for batch in batches:
-            texts, ids_of = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for a, b in slices(texts, 2 << 20):
-                split = [words(t or "") for t in texts[a:b]]
-                encoder.learn(split)
-                kind, doc, size, key, data, seen = [], [], [], [], [], set()
-                for doc_id, ws in zip(ids_of[a:b], split, strict=True):
-                    raw = encoder.encode(ws) + tail
-                    ids = np.frombuffer(raw, dtype)
-                    ends = cuts(ids)
-                    entries = []
-                    for s, e in zip([0, *ends[:-1]], ends, strict=True):
-                        part = raw[s * width : e * width]
+            texts, ids_of = batch.column(1), batch.column(0).to_pylist()
+            sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+            for a, b in slices(sizes, 8 << 20):
+                ids, ends = encoder.encode(texts.slice(a, b - a))
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                raw = ids.tobytes()
+                wanted = boundaries(ids).tolist()
+                kind, doc, size, key, data, seen, start = [], [], [], [], [], set(), 0
+                for doc_id, end in zip(ids_of[a:b], ends.tolist(), strict=True):
+                    recipe, first = [], start
+                    for e in cuts(start, end, wanted):
+                        part = raw[start * width : e * width]
                         h = chunk_hash(part)
-                        entries.append((h, e - s))
+                        recipe.append(h + (e - start).to_bytes(4, "little"))
                         if h not in seen:
                             seen.add(h)
-                            kind.append(1), doc.append(None), size.append(e - s), key.append(h), data.append(part)
-                    kind.append(0), doc.append(doc_id), size.append(len(ids)), key.append(None), data.append(np.array(entries, _ENTRY).tobytes())
+                            kind.append(1), doc.append(None), size.append(e - start), key.append(h), data.append(part)
+                        start = e
+                    kind.append(0), doc.append(doc_id), size.append(end - first), key.append(None), data.append(b"".join(recipe))
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(data, pa.binary())], names)
 
     return run
