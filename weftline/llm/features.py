@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from math import log, log1p, log2
+from math import log1p
 
 import numpy as np
 
@@ -15,26 +15,28 @@ for _chars, _n in ((range(ord("a"), ord("z") + 1), 0), (range(ord("A"), ord("Z")
     for _c in _chars:
         _CLASS[_c] = _n
 
-QUALITY_FEATURES = ("lower", "upper", "digit", "space", "plain_punctuation", "non_ascii", "symbol", "length", "words", "word_length", "distinct", "distinct_curve", "commonest", "symbol_words", "upper_words", "long_words", "entropy", "lines", "repeated_lines", "sentence_ends", "pipes", "bangs", "short", "pair_repeats", "adjacent_repeats")
+QUALITY_FEATURES = ("lower", "upper", "digit", "space", "plain_punctuation", "non_ascii", "symbol", "length", "words", "word_length", "repeats", "distinct_curve", "commonest", "symbol_words", "upper_words", "long_words", "entropy", "lines", "repeated_lines", "sentence_ends", "pipes", "bangs", "short", "pair_repeats", "adjacent_repeats")
+#: Shares are of this many more bytes or words than a text has, so that those of a very short one say little.
+MORE_BYTES, MORE_WORDS = 20, 5
 
 
 def quality_features(text: str | None) -> list[float]:
     """Shares and rates that say how a text is written, in the order of QUALITY_FEATURES; all finite, for any text."""
     raw = (text or "").encode()
-    n = max(1, len(raw))
+    n = len(raw) + MORE_BYTES
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     share = np.bincount(_CLASS, weights=counts, minlength=7) / n
     ws = raw.split()
-    m = max(1, len(ws))
-    low = Counter(ws)
-    lengths = [len(w) for w in ws]
-    p = counts[counts > 0] / n
+    m = len(ws) + MORE_WORDS
+    often = Counter(ws)
+    p = counts[counts > 0] / max(1, len(raw))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    tail = sum(1 for w in ws if w[-1] in b"*#$%&!|@~^+=_<>")
+    ends = Counter(w[-1] for w in ws)
+    pairs = list(zip(ws, ws[1:], strict=False))
     return [
-        *share.tolist(), log1p(len(raw)), log1p(len(ws)), sum(lengths) / m, len(low) / m, log(max(1, len(low))) / max(1.0, log(m + 1)), max(low.values(), default=0) / m, tail / m, sum(1 for w in ws if w.isupper() and len(w) > 2) / m,
-        sum(1 for x in lengths if x > 25) / m, float(-(p * np.log2(p)).sum()) if len(p) else 0.0, len(lines) / m, 1 - len(set(lines)) / max(1, len(lines)), sum(1 for w in ws if w[-1] in b".?!") / m, counts[ord("|")] / m, counts[ord("!")] / m, 1 / m,
-        1 - len(set(zip(ws, ws[1:], strict=False))) / max(1, len(ws) - 1) if len(ws) > 1 else 0.0, sum(1 for a, b in zip(ws, ws[1:], strict=False) if a == b) / m,
+        *share.tolist(), log1p(len(raw)), log1p(len(ws)), sum(map(len, ws)) / m, (len(ws) - len(often)) / m, log1p(len(often)) / max(1.0, log1p(len(ws))), (max(often.values(), default=1) - 1) / m, sum(ends[c] for c in b"*#$%&!|@~^+=_<>") / m, sum(1 for w in ws if len(w) > 2 and w.isupper()) / m,
+        sum(1 for w in ws if len(w) > 25) / m, float(-(p * np.log2(p)).sum()), len(lines) / m, (len(lines) - len(set(lines))) / (len(lines) + 1), sum(ends[c] for c in b".?!") / m, counts[ord("|")] / m, counts[ord("!")] / m, 1 / m,
+        (len(pairs) - len(set(pairs))) / m, sum(1 for a, b in pairs if a == b) / m,
     ]
 
 
