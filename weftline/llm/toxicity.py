@@ -15,7 +15,7 @@ from .features import BUCKETS, TermSlots
 from .quality import bounded_sample, sigmoid
 
 #: The most labelled documents of each class that the chain is fitted on.
-MOST_EACH = 5_000
+MOST_EACH = 3_000
 FOLDS = 5
 #: Chi-squared that a slot needs to enter a model: one in a thousand by chance.
 LEAST_CHI2 = 10.83
@@ -44,7 +44,7 @@ class _Rows:
         self.row, self.slot, self.n = row, slot, n
 
     def only(self, keep: np.ndarray) -> _Rows:
-        to = np.cumsum(keep) - 1
+        to = (np.cumsum(keep) - 1).astype(np.int32)
         inside = keep[self.row]
         return _Rows(to[self.row[inside]], self.slot[inside], int(keep.sum()))
 
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     types = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keep)
     rows = joined.mapInArrow(run, f"{types}, slots binary").toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
     parts = [np.frombuffer(b, np.int32) for b in rows.pop("slots")]
-    x = _Rows(np.repeat(np.arange(len(rows)), [len(p) for p in parts]), np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64), len(rows))
+    x = _Rows(np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts) if parts else np.empty(0, np.int32), len(rows))
     del parts
     y = {name: rows[f"__y{i}"].to_numpy() for i, name in enumerate(names)}
     z = y[names[-1]]
