@@ -7,6 +7,7 @@ folder and reads it again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm import bpe, mixing, quality, simhash
 from weftline.llm.common import fresh_path, table
@@ -16,16 +17,22 @@ from weftline.llm.queries import toxic_scores, vocabulary
 SHINGLE = 5
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Texts beside whole rows, so that columns of any name pass a stage."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking, fitted on labelled ones, lets pass."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.score(whole_rows(docs), model, ("row",))
+    return scored.where("predicted = 1").select("row.*")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not find toxic."""
-    return toxic_scores(docs, table(spark, sf_dir, "labels"), tuple(docs.columns)).where("toxic = 0").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return toxic_scores(whole_rows(docs), labels, ("row",), train_on=docs).where("toxic = 0").select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_columns(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The schema of kept columns, whatever their names and types, and of those that the text `more` declares."""
+    return StructType([df.schema[c] for c in keep] + _parse_datatype_string(more).fields)
+
+
 def text_bytes(col: str = "text"):
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")

@@ -55,8 +55,10 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     document of the source at most. The running sum needs no task that holds a source: documents are dealt by source,
     size and the first digits of their pseudo-random key; offsets of sizes, then of deals, come from counts alone.
     Null and empty texts have size 0. A null source is a source, the last. Rows that repeat source, size and id are
-    ordered arbitrarily among themselves, which changes nothing: they are alike. Reruns agree.
+    ordered arbitrarily among themselves, which changes nothing: they are alike. Reruns agree. Columns of df that have
+    one of the four names are replaced. An empty table gives an empty result.
     """
+    df = df.drop("__size", "__source_size", "__target", "__copies")
     base = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _key(id_col).alias("key"))
     base = base.withColumn("deal", F.conv(F.substring("key", 1, 2), 16, 10).cast("int"))
     name = F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()
@@ -80,6 +82,7 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(df: DataFrame, **how) -> DataFrame:
-    """The rows of df, each as often as copies() says; columns as in df."""
+    """The rows of df, each as often as copies() says; columns as in df, but for any that has one of copies()'s names."""
     found = copies(df, **how).where("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = [c for c in df.columns if not c.startswith("__") or c not in found.columns[-4:]]
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

@@ -34,9 +34,9 @@ def toxic_categories() -> dict[str, Column]:
     return {"toxic_prose": toxic & good, "toxic_junk": toxic & ~good, "toxic": toxic}
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, the chain's probabilities and toxic (0/1)."""
-    chain = toxicity.train(docs.select("doc_id", "text"), labels, toxic_categories())
+def toxic_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), train_on: DataFrame | None = None) -> DataFrame:
+    """keep, the chain's probabilities and toxic (0/1); the chain learns from the labelled rows of train_on (docs, if none)."""
+    chain = toxicity.train((docs if train_on is None else train_on).select("doc_id", "text"), labels, toxic_categories())
     return toxicity.score(docs, chain, keep).withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 

@@ -22,12 +22,10 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 42, id_col:
     pass: each bucket is put into a canonical order and shuffled (Fisher-Yates, seeded). A row's place in the whole order
     is its bucket's offset, a running sum over the buckets' counts, plus its place in the bucket; shard = place mod
     shards, slot = place div shards, so slots are gapless from 0. Groups of equal texts scatter by their ids. Only rows
-    that repeat both id and text share a bucket for certain. Null texts and ids are values like any other; an empty
+    that repeat both id and text share a bucket for certain. Columns of df named shard or slot are replaced. Null texts and ids are values like any other; an empty
     table gives an empty result. The same rows with the same settings and number of partitions give the same shards.
     """
-    clash = {c for c in df.columns if c in ("shard", "slot")}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are this operator's own; rename them first")
+    df = df.drop("shard", "slot")
     parts = partitions(df.sparkSession)
     total = df.agg(F.sum(text_bytes(text_col) + 1)).first()[0] or 0
     buckets = max(4 * parts, -(-total // bucket_bytes))

@@ -224,9 +224,10 @@ def _tile_links(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 def _hot_links(hot: DataFrame) -> DataFrame:
     """Links inside keys that have more members than one task should compare: all tiles against all tiles."""
     hot = hot.select((F.shiftright("a", 1)).alias("key"), F.col("b").alias("fp")).distinct()
-    dealt = hot.join(hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n")), "key").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n")).toDF("key", "n")
+    dealt = hot.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     left = dealt.select("key", "t", F.explode(F.sequence(F.col("t"), F.col("n") - 1)).alias("u"), "fp")
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("t"), F.col("t").alias("u"), "fp")
+    right = dealt.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("t2"), F.col("t").alias("u2"), F.col("fp").alias("fp2")).toDF("key", "t", "u", "fp")
     return left.groupBy("key", "t", "u").cogroup(right.groupBy("key", "t", "u")).applyInArrow(_tile_links, "a long, b long")
 
 
@@ -272,7 +273,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = near_duplicates(docs, id_col, text_col, shingle, seed)
     nameless, docs = docs.where(F.col(id_col).isNull()), docs.where(F.col(id_col).isNotNull())
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
+    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
     repeated = kept.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
     if repeated.isEmpty():
         return kept.unionByName(nameless)

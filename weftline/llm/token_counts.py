@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, with_columns
 from .vocabulary import CACHE_WORDS, SPACE, merge_ranks, tokenizer
 
 #: A run without white space and the white space before it; or the white space at the end of a text.
@@ -96,7 +96,6 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int |
     takes time in proportion to n log n. Rows repeat as they come; other columns, whatever their names, are not read.
     """
     ship(df.sparkSession)
-    ids = df.select(*[F.col(c) for c in id_cols])
     names = [*id_cols, "n_bytes", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +106,5 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int |
             n_tokens = [count(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema.fields) + ", n_bytes long, n_tokens long"
-    out = df.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    out = df.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("__text")).mapInArrow(run, with_columns(df, list(id_cols), "n_bytes long, n_tokens long"))
     return out if limit is None else out.withColumn("over_limit", F.col("n_tokens") > limit)

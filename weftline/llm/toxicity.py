@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, with_columns
 from .features import BUCKETS, TermSlots
 from .quality import bounded_sample, sigmoid
 
@@ -148,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             found = [np.fromiter(s := slots(t.as_py()), np.int32, len(s)).tobytes() for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.binary())], [*keep, "slots"])
 
-    joined = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select(*keep, F.col(text_col).alias("text"))
-    types = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in keep)
-    rows = joined.mapInArrow(run, f"{types}, slots binary").toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select(*keep, "text")
+    rows = joined.mapInArrow(run, with_columns(joined, keep, "slots binary")).toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
     parts = [np.frombuffer(b, np.int32) for b in rows.pop("slots")]
     x = _Rows(np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts) if parts else np.empty(0, np.int32), len(rows))
     del parts
@@ -168,6 +168,7 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
     """keep and p_<category> for each category, from every whole text, each link fed the probabilities before it.
 
     Null and empty texts get what texts without words get. Nothing is shuffled; the model is a few thousand weights.
+    Columns that are not kept are not read; to keep columns named as the result's are, keep a struct of them.
     """
     ship(docs.sparkSession)
     cols, names = list(keep), [f"p_{c}" for c in chain.categories]
@@ -187,5 +188,4 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
                 p = np.column_stack([p, sigmoid(sums[:, i] + p @ link.earlier + link.bias)])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], *[pa.array(np.ascontiguousarray(c)) for c in p.T]], [*cols, *names])
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text")).mapInArrow(run, f"{types}, " + ", ".join(f"{n} double" for n in names))
+    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text")).mapInArrow(run, with_columns(docs, cols, ", ".join(f"{n} double" for n in names)))
