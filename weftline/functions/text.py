@@ -108,7 +108,7 @@ def parse_date(c: Column) -> Column:
     found = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
     months = "JanFebMarAprMayJunJulAugSepOctNovDec"
     dmy = lambda n: F.regexp_extract(c, r"(\d{1,2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (\d{4})", n)
-    header = F.try_to_date(F.concat_ws("-", dmy(3), F.lpad(((F.locate(dmy(2), F.lit(months)) + 2) / 3).cast("int").cast("string"), 2, "0"), F.lpad(dmy(1), 2, "0")))
+    header = F.try_to_date(F.concat_ws("-", dmy(3), F.lpad(((F.position(dmy(2), F.lit(months)) + 2) / 3).cast("int").cast("string"), 2, "0"), F.lpad(dmy(1), 2, "0")))
     return F.date_format(F.coalesce(F.when(dmy(1) != "", header), *tried, F.when(part(1) != "", found)), "yyyy-MM-dd")
 
 

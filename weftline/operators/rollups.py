@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,7 +85,7 @@ def processing_stats(events: DataFrame) -> DataFrame:
 def funnel(rows: DataFrame, status: str = "status") -> DataFrame:
     """Rows and share of each status; the total comes from the counts, a row a status."""
     counts = rows.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(status, "n", F.bround(100.0 * F.col("n") / F.col("total"), 1).alias("percent"))
+    return counts.select(status, "n", F.bround(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1).alias("percent"))
 
 
 def most_common(rows: DataFrame, value: str, k: int, seq: str) -> DataFrame:
