@@ -26,6 +26,8 @@ from .vocabulary import id_type, slices, stream_encoder
 LEAST, MEAN, MOST, SPAN = 128, 512, 4096, 16
 HASH = 16
 _ENTRY = np.dtype([("hash", f"V{HASH}"), ("n", "<u4")])
+#: Chunks that a task remembers, to send each on once: a passage that a third of all documents share is a row a task.
+SEEN = 500_000
 #: Documents of a segment, where there are more than the session's partitions.
 SEGMENT_DOCS = 50_000
 
@@ -67,12 +69,13 @@ def chunk_hash(data: bytes) -> bytes:
 
 
 def _stage(vocabulary: str, end_id: int | None):
-    """Rows of kind 0, a document and its recipe, and of kind 1, a chunk that its document is the first in this slice to have."""
+    """Rows of kind 0, a document and its recipe, and of kind 1, a chunk that its document is the first of this task to have
+    (the first since the task began to remember anew, where it has met very many)."""
     names = ["kind", "doc_id", "n", "hash", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = stream_encoder(vocabulary)
-        width = int(encoder.dtype[2])
+        width, seen = int(encoder.dtype[2]), set()
         for batch in batches:
             texts, ids_of = batch.column(1), batch.column(0).to_pylist()
             sizes = pc.binary_length(texts).fill_null(0).to_pylist()
@@ -82,7 +85,9 @@ def _stage(vocabulary: str, end_id: int | None):
                     ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
                 raw = ids.tobytes()
                 wanted = boundaries(ids).tolist()
-                kind, doc, size, key, data, seen, start = [], [], [], [], [], set(), 0
+                kind, doc, size, key, data, start = [], [], [], [], [], 0
+                if len(seen) > SEEN:
+                    seen.clear()
                 for doc_id, end in zip(ids_of[a:b], ends.tolist(), strict=True):
                     recipe, first = [], start
                     for e in cuts(start, end, wanted):
@@ -148,8 +153,8 @@ def write_store(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
     """Encodes every whole text of df, appends end_id to each document and writes the store to path.
 
     Documents are in ascending order of id_col (null first; rows that repeat an id by their recipes). Texts are encoded
-    once, into a staging table beside the store; chunks are then deduplicated by hash, with a partial aggregation, so a
-    passage that a third of all documents share is one row a task. Starts are running sums within segments of the id
+    once, into a staging table beside the store, where each task sends a chunk on once; chunks are then deduplicated by
+    hash, so a passage that a third of all documents share is one row a task. Starts are running sums within segments of the id
     range, on top of the segments' own. Null and empty texts have no ids but the end id; without an end id such a
     document has an empty recipe. An empty table gives a store without rows.
     """
@@ -158,7 +163,7 @@ def write_store(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
     staging = f"{path}/staging"
     df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_stage(vocabulary, end_id), "kind int, doc_id long, n long, hash binary, data binary").write.option("compression", "zstd").parquet(staging)
     staged = spark.read.schema("kind int, doc_id long, n long, hash binary, data binary").parquet(staging)
-    unique = staged.where("kind = 1").groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    unique = staged.where("kind = 1").repartition(partitions(spark), "hash").groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     docs = staged.where("kind = 0")
