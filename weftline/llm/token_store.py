@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, partitions, ship
 from .vocabulary import id_type, slices, stream_encoder
 
-#: Chunk lengths in ids: least, mean beyond the least (a power of two), most; and the ids that a rolling hash spans.
+#: Chunk lengths in ids: least, mean beyond the least (a power of two), most; and the ids that a rolling hash spans (a power of two).
 LEAST, MEAN, MOST, SPAN = 128, 512, 4096, 16
 HASH = 16
 _ENTRY = np.dtype([("hash", f"V{HASH}"), ("n", "<u4")])
@@ -45,9 +45,11 @@ def _mix(ids: np.ndarray) -> np.ndarray:
 
 def boundaries(ids: np.ndarray) -> np.ndarray:
     """Places after which a rolling hash over the last SPAN ids asks for a cut, so equal passages are cut alike."""
-    mixed, rolled = _mix(ids), np.zeros(len(ids), np.uint64)
-    for k in range(min(SPAN, len(ids))):
-        rolled[k:] += mixed[: len(ids) - k] << np.uint64(k)
+    rolled, m = _mix(ids), 1
+    while m < SPAN:  # from sums over m ids those over twice as many
+        wider = rolled.copy()
+        wider[m:] += rolled[: max(0, len(ids) - m)] << np.uint64(m)
+        rolled, m = wider, 2 * m
     return np.flatnonzero((rolled >> np.uint64(20)) % np.uint64(MEAN) == 0) + 1
 
 

@@ -21,6 +21,8 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _RUN = re.compile(f"[^{SPACE}]+")
 #: Words that a worker's cache holds before it starts anew: about 80 MB.
 CACHE_WORDS = 400_000
+#: The same for the encoder of whole streams, whose entries are smaller: about 120 MB.
+STREAM_WORDS = 700_000
 
 
 def words(text: str) -> list[str]:
@@ -118,7 +120,7 @@ class StreamEncoder:
 
     _PATTERN = "^(?P<stem>[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)(?P<rest>[!-&(-/:;=-@\\[-`{-~]*)$"
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = STREAM_WORDS):
         self.path, self.most, self.dtype = path, most, id_type(path)
         self._forget()
 
