@@ -6,8 +6,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from duck import connect, of_spark, of_sql
 
-from weftline.plans.oracles import ORACLE_SQL
-from weftline.plans.queries import QUERIES
+from weftline.plans import catalogue, oracles, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | catalogue.QUERIES, oracles.ORACLE_SQL | catalogue.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

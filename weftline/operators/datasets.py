@@ -72,7 +72,7 @@ def dates_monotone(dates: Column) -> Column:
 def markdown_rows(text: Column) -> Column:
     """Cells of table lines with four cells at least, separators left out."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains("|") & ~x.rlike(r"^\s*\|?[\s:|-]+\|?\s*$"))
-    cells = F.transform(lines, lambda x: F.filter(F.transform(F.split(F.trim(x), r"\|"), F.trim), lambda y: y != ""))
+    cells = F.transform(lines, lambda x: F.filter(F.transform(F.split(F.trim(x), r"\|"), lambda y: F.trim(y)), lambda y: y != ""))
     return F.filter(cells, lambda c: F.size(c) >= 4)
 
 
@@ -81,3 +81,42 @@ def scaled_counts(base: dict[str, int], factor: float, total: int, rest: str) ->
     out = {k: max(1, int(v * factor)) for k, v in base.items()}
     out[rest] += total - sum(out.values())
     return out
+
+
+def usable_questions(rows: DataFrame, text: str, must: str = "我", styles: str = "CCSS|INDO|AW|SS", never: list[str] = ("订单", "order")) -> DataFrame:
+    """Questions of 5 to 100 characters that speak of the asker and name neither a style nor an order."""
+    out = rows.where(F.length(text).between(5, 100) & F.col(text).contains(must) & ~F.upper(text).rlike(styles))
+    for word in never:
+        out = out.where(~F.lower(text).contains(word))
+    return out
+
+
+def proportional(rows: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
+    """The same share of every stratum (rounded down), in seeded order."""
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(rank_key(F.col(key), seed), key))
+    sizes = rows.groupBy(stratum).agg(F.floor(F.count(F.lit(1)) * share).alias("wanted"))
+    ranked = rows.withColumn("rank", rank)
+    return ranked.join(sizes, ranked[stratum].eqNullSafe(sizes[stratum])).where("rank <= wanted").select(*[ranked[c] for c in rows.columns])
+
+
+def seed_styles(styles: DataFrame, least: int = 4, most: int = 20, stages: int = 2) -> DataFrame:
+    """Styles with enough events in enough stages, and not too many."""
+    return styles.where(F.col("event_count").between(least, most) & (F.col("stages") >= stages))
+
+
+def router_pairs(rows: DataFrame, routes: list[str], key: str = "case_id", seed: int = 42) -> DataFrame:
+    """A pair a case: its expected route, and as rejected another one, chosen by the key's hash."""
+    others = F.filter(F.array(*map(F.lit, routes)), lambda r: r != F.col("expected_route"))
+    at = F.conv(F.substring(rank_key(F.col(key), seed), 1, 6), 16, 10).cast("long") % (len(routes) - 1)
+    return rows.select(key, F.col("user_input").alias("instruction"), F.col("expected_route").alias("chosen"), F.get(others, at.cast("int")).alias("rejected"))
+
+
+def instantiated(templates: DataFrame, entities: DataFrame, per_template: int, seed: int = 42) -> DataFrame:
+    """Texts of a bounded list of templates(template_id, scene, template), each with entities(slot_value) in seeded order.
+
+    Entities are ranked once and each template takes so many of the first, shifted by its id: no cross join.
+    """
+    top = entities.orderBy(rank_key(F.col("slot_value"), seed), "slot_value").limit(per_template)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(rank_key(F.col("slot_value"), seed), "slot_value")))
+    wanted = templates.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(per_template))))
+    return wanted.join(F.broadcast(ranked), "rank").select("template_id", "scene", F.replace("template", F.lit("{}"), F.col("slot_value")).alias("text"))

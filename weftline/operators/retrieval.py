@@ -21,9 +21,10 @@ def scored(store: DataFrame, queries: DataFrame, vec: str = "embedding") -> Data
     return pairs.withColumn("score", F.round(dot(vec, "query") / (F.col("sn") * F.col("qn")), 6)).drop("query", "qn", "sn")
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", least: float | None = None, where: Column | None = None) -> DataFrame:
+def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", least: float | None = None, where: Column | None = None, but_self: bool = False) -> DataFrame:
     """k nearest by cosine for each query; filters on the store come before any score."""
     rows = scored(store if where is None else store.where(where), queries, vec)
+    rows = rows.where(F.col(id_col) != F.col("query_id")) if but_self else rows
     rows = rows if least is None else rows.where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)

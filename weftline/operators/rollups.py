@@ -65,15 +65,23 @@ def customer_rollup(events: DataFrame) -> DataFrame:
     return events.groupBy("customer_id").agg(F.countDistinct("style_id").alias("style_count"), F.array_sort(F.collect_set("style_id")).alias("style_list"))
 
 
-def collaborations(events: DataFrame) -> DataFrame:
-    """Both directions of each pair of parties: events together, and styles that both take part in anywhere."""
-    pairs = events.where(F.col("party_from") != F.col("party_to")).select(F.least("party_from", "party_to").alias("a"), F.greatest("party_from", "party_to").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("event_count"))
-    styles = person_style(events).select("person", "style_id")
+def pairs(events: DataFrame) -> DataFrame:
+    """Unordered pairs of parties and their events together."""
+    return events.where(F.col("party_from") != F.col("party_to")).select(F.least("party_from", "party_to").alias("a"), F.greatest("party_from", "party_to").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("event_count"))
+
+
+def with_common_styles(pairs: DataFrame, styles: DataFrame) -> DataFrame:
+    """Both directions of each pair, with how many of (person, style_id) the two have in common."""
     common = pairs.join(styles.withColumnRenamed("person", "a"), "a").join(styles.withColumnRenamed("person", "b"), ["b", "style_id"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("style_count"))
     both = pairs.join(common, ["a", "b"], "left").withColumn("style_count", F.coalesce("style_count", F.lit(0)))
     return both.select(F.explode(F.array(F.struct(F.col("a").alias("person"), F.col("b").alias("other")), F.struct(F.col("b").alias("person"), F.col("a").alias("other")))).alias("p"), "event_count", "style_count").select("p.*", "event_count", "style_count")
 
 
+def collaborations(events: DataFrame) -> DataFrame:
+    """Both directions of each pair of parties: events together, and styles that both take part in anywhere."""
+    return with_common_styles(pairs(events), person_style(events).select("person", "style_id"))
+
+
 def tiers(events: DataFrame, passed: int = 70, review: int = 50) -> DataFrame:
     return events.withColumn("tier", F.when(F.col("confidence") >= passed, "passed").when(F.col("confidence") >= review, "review").otherwise("discarded"))
 

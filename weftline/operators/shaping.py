@@ -84,6 +84,12 @@ def shrink_to_budget(item_tokens: int, budget: int, have: int, ladder: tuple[int
     return next((min(n, have) for n in ladder if min(n, have) * item_tokens < 0.95 * budget), ladder[-1])
 
 
+def within_budget(rows: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:
+    """Rows of each group, in order, while their running cost (`used`) stays within the budget."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+
+
 def page(rows: DataFrame, number: int, size: int, order: list) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
