@@ -265,17 +265,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest doc_id, all columns of docs kept.
+def one_of_each(docs: DataFrame, named: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each component, all columns of docs kept: that with the least (id, nulls last; text hash).
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id all stay: nothing tells which of them to keep.
+    named(th, fp) gives each distinct text hash its fingerprint, found(node, component) each linked fingerprint its
+    component. Of rows that repeat both id and text any one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, seed)
-    nameless, docs = docs.where(F.col(id_col).isNull()), docs.where(F.col(id_col).isNotNull())
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
-    repeated = kept.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    if repeated.isEmpty():
-        return kept.unionByName(nameless)
-    once = kept.join(repeated, F.col(id_col) == F.col("__again"), "left_anti")
-    return once.unionByName(kept.join(repeated, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])).unionByName(nameless)
+    doc_id, th = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    again = docs.select(doc_id.alias("id"), th.alias("th")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
+    least = again.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n")).alias("r")).select("th", "r.*")
+    component = named.join(found, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("component", "fp").alias("component"))
+    best = least.join(component, "th").groupBy("component").agg(F.min(F.struct("nameless", "id", "th", "n")).alias("r"))
+    keep = cut(best.select(F.col("r.id").alias("__id"), F.col("r.th").alias("__th"), F.col("r.n").alias("__n")))
+    kept = docs.withColumn("__hash", th).join(keep, (F.col("__hash") == F.col("__th")) & doc_id.eqNullSafe(F.col("__id")))
+    if not keep.where("__n > 1").isEmpty():
+        kept = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__hash"]))
+    return kept.drop("__hash", "__id", "__th", "__n")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each near-duplicate group: that with the least doc_id (nulls last, then by text), all columns of docs kept."""
+    texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    named = cut(fingerprints(texts, "th", "text", shingle, seed).toDF("th", "fp").distinct())
+    return one_of_each(docs, named, components(fingerprint_links(named.select("fp").distinct())), id_col, text_col)
