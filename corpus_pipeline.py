@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, mixing, quality, simhash
+from weftline.llm import bpe, mixing, quality, shingles
 from weftline.llm.common import fresh_path, table
 from weftline.llm.queries import toxic_scores, vocabulary
 
@@ -36,8 +36,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.representatives(docs, shingle=SHINGLE)
+    """One document of each group whose word-shingle sets are similar at 0.8 or more."""
+    return shingles.representatives(docs, shingle=SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_good),
     ("toxicity", keep_civil),
-    ("SimHash near-dedup", keep_distinct),
+    ("shingle near-dedup", keep_distinct),
     ("mixing sources", mix_sources),
     ("BPE encoding and decoding", encode),
 ]
