@@ -313,6 +313,12 @@ def id_extraction(t, ev, spark, sf):
     return t("documents").where(ascii_only).select("doc_id", F.array_join(F.filter(X.order_ids(F.col("text")), lambda x: F.length(x) > 6), ",").alias("order_ids"), F.array_join(X.style_ids(F.col("text")), ",").alias("style_ids"))
 
 
+@query
+def id_extraction_all(t, ev, spark, sf):
+    """id_extraction over all documents, with the order ids of 6 digits; DuckDB's word boundaries are ASCII, so no SQL."""
+    return t("documents").select("doc_id", F.array_join(X.order_ids(F.col("text")), ",").alias("order_ids"), F.array_join(X.style_ids(F.col("text")), ",").alias("style_ids"))
+
+
 @query
 def html_to_text(t, ev, spark, sf):
     return t("pages").select("page_id", F.md5(X.clean_html(F.col("html")).cast("binary")).alias("text_md5"))
