@@ -31,6 +31,10 @@ def order_ids(text):
     return sorted(x for x in found if not (len(x) == 6 and int(x[:2]) <= 12 and int(x[2:4]) <= 31))
 
 
+def terms(text):
+    return (set(re.findall("[一-龥]{2,10}", text)) | set(re.findall(r"\b[a-zA-Z][a-zA-Z\-]{2,20}\b", text))) - set(L.TERM_STOPWORDS)
+
+
 def test_ids(spark, given):
     got = {r.doc_id: (r.order_ids, r.style_ids) for r in queries.QUERIES["id_extraction_all"](spark, given[0]).collect()}
     assert set(got) == set(given[1])
@@ -38,3 +42,19 @@ def test_ids(spark, given):
         styles = sorted({x for p in L.STYLE_PATTERNS for x in re.findall(p, (text or "").upper())})
         assert text is None or got[i] == (",".join(order_ids(text)), ",".join(styles)), text
     assert got[0] == ("123456,2023621", "2023621,CCSS230021") and got[1][0] == "310052" and got[3][0] == "654321"
+
+
+def test_terms(spark, given):
+    got = {r.doc_id: r.terms for r in catalogue.QUERIES["candidate_terms_all"](spark, given[0]).collect()}
+    wanted = {i: terms(x) for i, x in given[1].items() if x is not None}
+    assert {i: got[i] for i in wanted} == {i: len(x) for i, x in wanted.items()} and len(got) == len(given[1])
+    counts = Counter(x for found in wanted.values() for x in found)
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:20]
+    assert [(r.term, r.docs) for r in queries.QUERIES["term_frequency_all"](spark, given[0]).collect()] == top
+    assert "面料" in wanted[5] and "fabric" in wanted[4] and got[4] == len(terms(TEXTS[4]))
+
+
+def test_controls(spark, given):
+    got = {r.doc_id: r.clean for r in catalogue.QUERIES["control_characters_all"](spark, given[0]).collect()}
+    assert got == {i: None if x is None else not re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", x) for i, x in given[1].items()}
+    assert not got[5] and not got[6] and got[10]

@@ -136,7 +136,7 @@ def event_document(fields: dict[str, Column]) -> Column:
 
 
 def potential_terms(c: Column) -> Column:
-    found = F.array_union(F.regexp_extract_all(c, F.lit("([一-龥]{2,10})"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"\b([a-zA-Z][a-zA-Z\-]{2,20})\b"), F.lit(1)))
+    found = F.array_union(F.regexp_extract_all(c, F.lit("([一-龥]{2,10})"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(?U)\b([a-zA-Z][a-zA-Z\-]{2,20})\b"), F.lit(1)))
     return F.array_except(found, F.array(*map(F.lit, L.TERM_STOPWORDS)))
 
 

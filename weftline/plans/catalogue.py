@@ -268,6 +268,12 @@ def candidate_terms(t, ev, spark, sf):
     return plain.select("doc_id", F.size(X.potential_terms(F.col("text"))).cast("long").alias("terms"))
 
 
+@query()
+def candidate_terms_all(t, ev, spark, sf):
+    """candidate_terms over all documents, Han terms too; DuckDB's word boundaries are ASCII, so no SQL."""
+    return t("documents").select("doc_id", F.size(X.potential_terms(F.col("text"))).cast("long").alias("terms"))
+
+
 @query("SELECT conv_id, CASE WHEN length(arg_min(text, turn)) > 20 THEN left(arg_min(text, turn), 20) || '...' ELSE arg_min(text, turn) END AS title FROM conversations GROUP BY 1")
 def conversation_titles(t, ev, spark, sf):
     return t("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first")).select("conv_id", X.title_of(F.col("first")).alias("title"))
@@ -278,6 +284,11 @@ def control_characters(t, ev, spark, sf):
     return t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", (X.strip_controls(F.col("text")) == F.col("text")).alias("clean"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g') = text AS clean FROM documents")
+def control_characters_all(t, ev, spark, sf):
+    return t("documents").select("doc_id", (X.strip_controls(F.col("text")) == F.col("text")).alias("clean"))
+
+
 @query(f"SELECT conv_id, turn, {_any('lower(text)', L.CONTINUATION)} OR lower(text) IN ('续', '继', '查', '看') AS continues FROM conversations")
 def continuation_turns(t, ev, spark, sf):
     return t("conversations").select("conv_id", "turn", X.is_continuation(F.col("text")).alias("continues"))

@@ -368,6 +368,13 @@ def term_extraction_frequency(t, ev, spark, sf):
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.col("docs").desc(), "term").limit(20)
 
 
+@query
+def term_frequency_all(t, ev, spark, sf):
+    """Candidate terms, Han ones too, by the number of documents of any language that have them; no SQL, as for id_extraction_all."""
+    terms = t("documents").select(F.explode(F.array_distinct(X.potential_terms(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.col("docs").desc(), "term").limit(20)
+
+
 @query
 def knn_topk(t, ev, spark, sf):
     one = t("embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
