@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, with_columns
+from .common import cut, ship, with_columns
 from .features import BUCKETS, TermSlots
 from .quality import bounded_sample, sigmoid
 
@@ -131,12 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """A chain for categories, each a 0/1 expression over the columns of labels; the last is the one samples balance.
 
     Fitted on at most `most` labelled documents with the last category and as many without it, by hash; weights give
-    both kinds their share among all labels. Labels that are null count as 0; rows without text or id are left out.
+    both kinds their share among all labels of docs. Labels that are null count as 0; rows without text or id and labels
+    of documents that are not in docs are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     names = list(categories)
     flags = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"__y{i}") for i, c in enumerate(categories.values())])
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    flags = cut(flags.join(texts, F.col("__id") == F.col("__doc"), "left_semi"))
     last = f"__y{len(names) - 1}"
     totals = {r[0]: r[1] for r in flags.groupBy(last).count().collect()}
     sample = bounded_sample(flags.where(F.col(last) == 1), "__id", most).unionAll(bounded_sample(flags.where(F.col(last) == 0), "__id", most))
@@ -148,7 +151,6 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
             found = [np.fromiter(s := slots(t.as_py()), np.int32, len(s)).tobytes() for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.binary())], [*keep, "slots"])
 
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select(*keep, "text")
     rows = joined.mapInArrow(run, with_columns(joined, keep, "slots binary")).toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
     parts = [np.frombuffer(b, np.int32) for b in rows.pop("slots")]
