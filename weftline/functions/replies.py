@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,6 +37,8 @@ def closed(text: str) -> str | None:
             escaped, in_string = (c == "\\" and not escaped), (escaped or c != '"')
             if not in_string:
                 ends.append((i + 1, list(stack)))
+                if not stack:
+                    break
         elif c == '"':
             in_string = True
         elif c in "{[":
@@ -45,13 +48,20 @@ def closed(text: str) -> str | None:
             if not stack or stack.pop() != c:
                 break
             ends.append((i + 1, list(stack)))
+            if not stack:
+                break
         elif c.isalnum():
             ends.append((i + 1, list(stack)))
     candidates = [text + "".join(['"' if in_string else "", *reversed(stack)])] if text else []
     if in_string and escaped:
         candidates = [text[:-1] + '"' + "".join(reversed(stack))]
-    candidates += [text[:at] + "".join(reversed(open_)) for at, open_ in reversed(ends[-64:])]
-    for candidate in candidates:
+    try:
+        json.loads(text)
+        wrong = len(text)
+    except json.JSONDecodeError as e:
+        wrong = e.pos
+    later = (text[:at] + "".join(reversed(open_)) for at, open_ in reversed(ends) if at <= wrong)  # no beginning beyond the first error is valid
+    for candidate in chain(candidates, later):
         try:
             json.loads(candidate)
         except ValueError:
