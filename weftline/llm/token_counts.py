@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, with_columns
+from .common import over_texts, ship
 from .vocabulary import CACHE_WORDS, SPACE, merge_ranks, tokenizer
 
 #: A run without white space and the white space before it; or the white space at the end of a text.
@@ -96,15 +96,10 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int |
     takes time in proportion to n log n. Rows repeat as they come; other columns, whatever their names, are not read.
     """
     ship(df.sparkSession)
-    names = [*id_cols, "n_bytes", "n_tokens"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts():
         count = counter(path).text
-        for batch in batches:
-            texts = batch.column(len(id_cols))
-            n_bytes = [0 if t is None else len(t) for t in texts.cast(pa.binary()).to_pylist()]
-            n_tokens = [count(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names)
+        return lambda texts: [pc.binary_length(texts).fill_null(0).cast(pa.int64()), pa.array([count(t.as_py()) for t in texts], pa.int64())]
 
-    out = df.select(*[F.col(c) for c in id_cols], F.col(text_col).alias("__text")).mapInArrow(run, with_columns(df, list(id_cols), "n_bytes long, n_tokens long"))
+    out = over_texts(df, list(id_cols), text_col, counts, "n_bytes long, n_tokens long")
     return out if limit is None else out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, with_columns
+from .common import col, cut, over_texts, ship
 from .features import BUCKETS, TermSlots
 from .quality import bounded_sample, sigmoid
 
@@ -131,28 +130,28 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """A chain for categories, each a 0/1 expression over the columns of labels; the last is the one samples balance.
 
     Fitted on at most `most` labelled documents with the last category and as many without it, by hash; weights give
-    both kinds their share among all labels of docs. Labels that are null count as 0; rows without text or id and labels
-    of documents that are not in docs are left out.
+    both kinds their share among all labels of docs. Labels that are null count as 0; of labels that repeat an id the
+    greatest stand, of documents that repeat one a single text. Rows without text or id and labels of documents that are
+    not in docs are left out.
     """
     spark = docs.sparkSession
     ship(spark)
     names = list(categories)
-    flags = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"__y{i}") for i, c in enumerate(categories.values())])
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    flags = labels.where(col(id_col).isNotNull()).groupBy(col(id_col).alias("__id")).agg(*[F.max(F.coalesce(c.cast("int"), F.lit(0))).alias(f"__y{i}") for i, c in enumerate(categories.values())])
+    texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("__doc"), col(text_col).alias("text"))
     flags = cut(flags.join(texts, F.col("__id") == F.col("__doc"), "left_semi"))
     last = f"__y{len(names) - 1}"
     totals = {r[0]: r[1] for r in flags.groupBy(last).count().collect()}
     sample = bounded_sample(flags.where(F.col(last) == 1), "__id", most).unionAll(bounded_sample(flags.where(F.col(last) == 0), "__id", most))
     keep = ["__id", *[f"__y{i}" for i in range(len(names))]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots_of():
         slots = TermSlots()
-        for batch in batches:
-            found = [np.fromiter(s := slots(t.as_py()), np.int32, len(s)).tobytes() for t in batch.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.binary())], [*keep, "slots"])
+        return lambda given: [pa.array([np.array(sorted(slots(t.as_py())), np.int32).tobytes() for t in given], pa.binary())]
 
     joined = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select(*keep, "text")
-    rows = joined.mapInArrow(run, with_columns(joined, keep, "slots binary")).toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
+    one_each = over_texts(joined, keep, "text", slots_of, "slots binary").groupBy(*keep).agg(F.min("slots").alias("slots"))
+    rows = one_each.toPandas().sort_values(keep, kind="stable").reset_index(drop=True)
     parts = [np.frombuffer(b, np.int32) for b in rows.pop("slots")]
     x = _Rows(np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts) if parts else np.empty(0, np.int32), len(rows))
     del parts
@@ -173,21 +172,24 @@ def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), te
     Columns that are not kept are not read; to keep columns named as the result's are, keep a struct of them.
     """
     ship(docs.sparkSession)
-    cols, names = list(keep), [f"p_{c}" for c in chain.categories]
+    names = [f"p_{c}" for c in chain.categories]
     used = sorted(set().union(*(link.slots.tolist() for link in chain.links)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer():
         slots = TermSlots(frozenset(used))
         tables = []
         for link in chain.links:
             tables.append(np.zeros(BUCKETS))
             tables[-1][link.slots] = link.weights
-        for batch in batches:
-            found = [slots(t.as_py()) for t in batch.column(len(cols))]
+
+        def scores(texts: pa.Array) -> list:
+            found = [slots(t.as_py()) for t in texts]
             sums = np.array([[t[list(f)].sum() if f else 0.0 for t in tables] for f in found]).reshape(len(found), len(tables))
             p = np.empty((len(found), 0))
             for i, link in enumerate(chain.links):
                 p = np.column_stack([p, sigmoid(sums[:, i] + p @ link.earlier + link.bias)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], *[pa.array(np.ascontiguousarray(c)) for c in p.T]], [*cols, *names])
+            return [pa.array(np.ascontiguousarray(c)) for c in p.T]
+
+        return scores
 
-    return docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text")).mapInArrow(run, with_columns(docs, cols, ", ".join(f"{n} double" for n in names)))
+    return over_texts(docs, list(keep), text_col, scorer, ", ".join(f"{n} double" for n in names))
