@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import col
+
 #: Words as the mix counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -13,12 +15,12 @@ DEAL = 256
 
 
 def words(text_col: str = "text"):
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _key(id_col: str):
     """A fixed pseudo-random order of documents."""
-    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
 def _offset():
@@ -47,19 +49,18 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """All columns of df with __size, __source_size, __target and __copies, the times that the mix emits the row.
+    """row, a struct of all columns of df, with size, source_size, target and copies, the times that the mix emits the row.
 
     Every document of a source is expected target / source_size times. Within a source documents are ordered by size,
     then pseudo-randomly by their id; the running sum of what is expected, plus the source's one offset, passes an
-    integer __copies times at a document. Ordered by size, whole copies stray from what is expected by about the largest
+    integer `copies` times at a document. Ordered by size, whole copies stray from what is expected by about the largest
     document of the source at most. The running sum needs no task that holds a source: documents are dealt by source,
     size and the first digits of their pseudo-random key; offsets of sizes, then of deals, come from counts alone.
     Null and empty texts have size 0. A null source is a source, the last. Rows that repeat source, size and id are
-    ordered arbitrarily among themselves, which changes nothing: they are alike. Reruns agree. Columns of df that have
-    one of the four names are replaced. An empty table gives an empty result.
+    ordered arbitrarily among themselves, which changes no figure. Reruns agree. Columns of any name pass inside `row`.
+    An empty table gives an empty result.
     """
-    df = df.drop("__size", "__source_size", "__target", "__copies")
-    base = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _key(id_col).alias("key"))
+    base = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _key(id_col).alias("key"))
     base = base.withColumn("deal", F.conv(F.substring("key", 1, 2), 16, 10).cast("int"))
     name = F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()
     base = base.withColumn("s0", name[0]).withColumn("s1", name[1])
@@ -78,11 +79,10 @@ def copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     place = F.col("smaller") + F.col("earlier") + F.col("at")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     times = F.floor(F.col("offset") + place * rate) - F.floor(F.col("offset") + (place - 1) * rate)
-    return joined.select("row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.least(times, F.ceil(rate)).cast("long").alias("__copies"))
+    return joined.select("row", "size", "source_size", "target", F.least(times, F.ceil(rate)).cast("long").alias("copies"))
 
 
 def mix(df: DataFrame, **how) -> DataFrame:
-    """The rows of df, each as often as copies() says; columns as in df, but for any that has one of copies()'s names."""
-    found = copies(df, **how).where("__copies > 0")
-    kept = [c for c in df.columns if not c.startswith("__") or c not in found.columns[-4:]]
-    return found.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of df, each as often as copies() says, with df's columns and no others."""
+    found = copies(df, **how).where("copies > 0")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

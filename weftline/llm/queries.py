@@ -23,6 +23,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector; neighbours.nearest() says what becomes of odd vectors."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = neighbours.nearest(rows, rows.where("vec_id % 100 = 0"))
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -41,6 +42,7 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("d
 
 
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and toxic of every document, from its whole text; null texts count as empty."""
     return toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -49,40 +51,48 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from the rows that are not held out; a null id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law `rows`; groups of equal texts are told by text_crc32."""
     dealt = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
     size, crc = text_bytes() + 1, F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return dealt.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text; null texts count as empty."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    """Digests of every text's ids and of what decodes from them; null texts count as empty."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), reread=True)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes; a null source is the last, null texts have size 0."""
     found = mixing.copies(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return found.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector at a cosine of 0.9; unusable vectors stand alone."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and meet there."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the store's files give it back; null texts count as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_store.store_and_read(docs, vocabulary("word_bpe_49k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
