@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, partitions, ship
+from .common import col, fresh_path, partitions, ship
 from .vocabulary import id_type, slices, stream_encoder
 
 #: Chunk lengths in ids: least, mean beyond the least (a power of two), most; and the ids that a rolling hash spans (a power of two).
@@ -125,7 +125,7 @@ def _leaf(doc_id: int | None, start: int, n: int, recipe: bytes) -> bytes:
 
 
 def _segment_root(table: pa.Table) -> tuple[bytes, int, int]:
-    rows = table.select(["doc_id", "start", "n_tokens", "recipe"]).sort_by("start")
+    rows = table.select(["doc_id", "start", "n_tokens", "recipe"]).sort_by([("start", "ascending"), ("n_tokens", "ascending"), ("doc_id", "ascending")])
     columns = [c.to_pylist() for c in rows.columns]
     return _merkle([_leaf(*x) for x in zip(*columns, strict=True)]), len(rows), sum(columns[2])
 
@@ -163,7 +163,7 @@ def write_store(df: DataFrame, path: str, vocabulary: str, end_id: int | None =
     spark = df.sparkSession
     ship(spark)
     staging = f"{path}/staging"
-    df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_stage(vocabulary, end_id), "kind int, doc_id long, n long, hash binary, data binary").write.option("compression", "zstd").parquet(staging)
+    df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(_stage(vocabulary, end_id), "kind int, doc_id long, n long, hash binary, data binary").write.option("compression", "zstd").parquet(staging)
     staged = spark.read.schema("kind int, doc_id long, n long, hash binary, data binary").parquet(staging)
     unique = staged.where("kind = 1").repartition(partitions(spark), "hash").groupBy("hash").agg(F.first("n").alias("n"), F.first("data").alias("data"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
@@ -202,31 +202,39 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _verified_refs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A segment's documents as chunk references, if its recipes have the root that the manifest says."""
+    """A segment's documents as chunk references, if its recipes have the root that the manifest says. A document without
+    ids has one reference, to no chunk, so that it is read back like any other."""
     if not len(right) and not len(left):
         raise ValueError("a store without rows")
     root, docs, ids = _segment_root(left)
     told = right.to_pylist()
     if len(told) != 1 or (told[0]["root"], told[0]["docs"], told[0]["ids"]) != (root, docs, ids):
         raise ValueError(f"recipes of segment {left['segment'][0].as_py() if len(left) else told[0]['segment']} do not match their manifest")
-    cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "at", "hash", "n", "after")}
-    for doc_id, start, n, recipe in zip(*(left[c].to_pylist() for c in ("doc_id", "start", "n_tokens", "recipe")), strict=True):
+    cols: dict[str, list] = {k: [] for k in _REF_NAMES}
+    segment = left["segment"][0].as_py()
+    for row, (doc_id, start, n, recipe) in enumerate(zip(*(left[c].to_pylist() for c in ("doc_id", "start", "n_tokens", "recipe")), strict=True)):
         entries = np.frombuffer(recipe, _ENTRY)
         sizes = entries["n"].astype(np.int64)
         if sizes.sum() != n:
             raise ValueError(f"the recipe of document {doc_id} does not add up")
-        m = len(entries)
+        m = max(1, len(entries))
+        cols["segment"] += [segment] * m
+        cols["row"] += [row] * m
         cols["doc_id"] += [doc_id] * m
         cols["start"] += [start] * m
         cols["n_tokens"] += [n] * m
         cols["at"] += range(m)
-        cols["hash"] += [e.tobytes() for e in entries["hash"]]
-        cols["n"] += sizes.tolist()
-        cols["after"] += (sizes.sum() - np.cumsum(sizes)).tolist()
+        cols["hash"] += [e.tobytes() for e in entries["hash"]] or [None]
+        cols["n"] += sizes.tolist() or [0]
+        cols["after"] += (sizes.sum() - np.cumsum(sizes)).tolist() or [0]
     return pa.table({k: pa.array(v, pa.binary() if k == "hash" else pa.int64()) for k, v in cols.items()})
 
 
-_REFS = "doc_id long, start long, n_tokens long, at long, hash binary, n long, after long"
+#: A document's place (its segment, its row there), what the recipes say of it, and one of its chunks.
+_DOC = "segment long, row long, doc_id long, start long, n_tokens long"
+_REFS = f"{_DOC}, at long, hash binary, n long, after long"
+_REF_NAMES = [x.split()[0] for x in _REFS.split(", ")]
+_DOC_NAMES = _REF_NAMES[:5]
 
 
 def _references(spark: SparkSession, path: str) -> DataFrame:
@@ -271,18 +279,24 @@ def crc_followed_by(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, after, m, crc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7))
-        if batch.column(5).null_count or (n != m).any():
+        doc, (keys, n, after, m, crc) = batch.columns[:5], batch.columns[5:]
+        n, after = n.to_numpy(zero_copy_only=False), after.to_numpy(zero_copy_only=False)
+        m, crc = (c.fill_null(-1).to_numpy(zero_copy_only=False) for c in (m, crc))
+        named = keys.is_valid().to_numpy(zero_copy_only=False)
+        if (named & (n != m)).any():
             raise ValueError("a recipe names a chunk that the store does not hold, or not of this length")
-        share = crc_followed_by(crc, 4 * after) if len(crc) else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share)], ["doc_id", "start", "n_tokens", "share"])
+        share = np.zeros(len(n), np.int64)
+        if named.any():
+            share[named] = crc_followed_by(crc[named], 4 * after[named])
+        yield pa.RecordBatch.from_arrays([*doc, pa.array(share)], [*_DOC_NAMES, "share"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as <u4) of every document, from the store's files alone.
 
     Recipes are checked against the Merkle manifest and chunks against their hashes. CRCs of chunks combine to those of
-    documents, so chunk bytes are read once, where they lie, and never shuffled. Damage raises an error.
+    documents, so chunk bytes are read once, where they lie, and never shuffled. A document without ids has the CRC of no
+    bytes, 0; rows that repeat an id come back as often as they were written. Damage raises an error.
     """
     ship(spark)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
@@ -290,21 +304,22 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     width = row[0] or 2
     chunks = spark.read.schema("hash binary, n long, data binary").parquet(f"{path}/chunks").withColumn("w", F.lit(width)).mapInArrow(_checked_chunks, "hash binary, m long, crc long")
     refs = _references(spark, path)
-    shares = refs.join(chunks, "hash", "left").select("doc_id", "start", "n_tokens", "n", "after", "m", "crc").mapInArrow(_shares, "doc_id long, start long, n_tokens long, share long")
-    return shares.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("share").alias("ids_crc32"))
+    shares = refs.join(chunks, "hash", "left").select(*_DOC_NAMES, "hash", "n", "after", "m", "crc").mapInArrow(_shares, f"{_DOC}, share long")
+    return shares.groupBy(*_DOC_NAMES).agg(F.bit_xor("share").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids (array<int>) of every document that has any, put together again from its chunks."""
+    """doc_id, start and ids (array<int>) of every document, put together again from its chunks; without ids the array is empty."""
     ship(spark)
     width = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").agg(F.max("width")).first()[0] or 2
     chunks = spark.read.schema("hash binary, n long, data binary").parquet(f"{path}/chunks").select("hash", "data")
-    parts = _references(spark, path).join(chunks, "hash", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("at", "hash", "data"))).alias("parts"))
+    parts = _references(spark, path).join(chunks, "hash", "left").groupBy(*_DOC_NAMES).agg(F.array_sort(F.collect_list(F.struct("at", "hash", "data"))).alias("parts")).select("doc_id", "start", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for parts in batch.column(2).to_pylist():
+                parts = [p for p in parts if p["hash"] is not None]
                 if any(p["data"] is None or chunk_hash(p["data"]) != p["hash"] for p in parts):
                     raise ValueError("a chunk is missing or damaged")
                 out.append(np.frombuffer(b"".join(p["data"] for p in parts), f"<u{width}").astype(np.int32))
