@@ -9,11 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
-from .vocabulary import WordEncoder, id_type, pieces, slices, words
+from .common import col, cut, partitions, renamed_columns, ship
+from .vocabulary import CACHE_WORDS, WordEncoder, id_type, pieces, slices, words
 
 #: Characters of text whose words share one dictionary; a longer text has one to itself.
 BLOCK_CHARS = 8 << 20
@@ -108,8 +108,9 @@ def _positions(texts_at: int, parts: int, block_chars: int):
 _ANSWERS = "block long, part int, n long, raw long, check long, data binary"
 
 
-def _encode(path: str):
-    """Each part of the dictionary is one task's: every distinct word of the corpus meets the library once, here."""
+def _encode(path: str, most: int = CACHE_WORDS):
+    """Each part of the dictionary is one task's: every distinct word of the corpus meets the library once, here. Words
+    are remembered from block to block while there are at most so many of them, so more parts are needed beyond that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordEncoder(path, id_type(path))
@@ -118,6 +119,8 @@ def _encode(path: str):
             for row in batch.to_pylist():
                 text = _unpack(row["data"], row["raw"])
                 ws = text.decode().split("\n")
+                if len(table.known) > most:
+                    table.forget()
                 table.add({w for w in ws if w not in table.known})
                 ids = [table.known[w] for w in ws]
                 raw = np.array([len(x) // wide for x in ids], "<u4").tobytes() + b"".join(ids)
@@ -127,15 +130,12 @@ def _encode(path: str):
     return run
 
 
-def decode_ids(ids: np.ndarray, path: str) -> str:
-    """What the library's decode(ids, skip_special_tokens=False) gives for a vocabulary file without a decoder."""
-    return " ".join(map(pieces(path).__getitem__, ids.tolist()))
-
-
 def _join(path: str, key_names: list[str], parts: int, emit):
-    """Puts ids back where a block's words stood; emit makes the result columns of one document."""
+    """Puts ids, and where emit asks for them the pieces that the ids join to, back where a block's words stood; emit
+    makes the result columns of one document from its ids and the decoded text of its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        id_to_piece = pieces(path)
         block, kind = left.to_pylist()[0], id_type(path)
         wide = int(kind[2])
         known: list[bytes] = []
@@ -148,7 +148,8 @@ def _join(path: str, key_names: list[str], parts: int, emit):
             ends = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) * wide + 4 * n
             known += [raw[a:b] for a, b in zip(np.concatenate([[4 * n], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
         if check != block["check"]:
-            raise ValueError("the input gave other rows when it was read again; checkpoint it first")
+            raise ValueError("the input gave other rows when it was read again; leave reread out")
+        decoded = [" ".join(map(id_to_piece.__getitem__, np.frombuffer(x, kind).tolist())) for x in known] if emit.decodes else []
         with pa.ipc.open_stream(block["keys"]) as r:
             keys = r.read_all()
         positions = _unpack(block["data"], block["n"])
@@ -158,32 +159,27 @@ def _join(path: str, key_names: list[str], parts: int, emit):
         flat = first[number % parts] + number // parts
         out, at = [], 0
         for n in lengths.tolist():
-            ids = np.frombuffer(b"".join(map(known.__getitem__, flat[at : at + n].tolist())), kind)
+            places = flat[at : at + n].tolist()
             at += n
-            out.append(emit(ids))
+            ids = np.frombuffer(b"".join(map(known.__getitem__, places)), kind)
+            out.append(emit(ids, " ".join(filter(None, map(decoded.__getitem__, places)))) if emit.decodes else emit(ids))
         columns = list(zip(*out, strict=True))
         return pa.table([*keys.columns, *map(pa.array, columns)], names=[*key_names, *emit.names])
 
     return run
 
 
-def _steady(df: DataFrame) -> DataFrame:
-    """df, checkpointed if it comes out of a shuffle: read twice, it must give the same rows in the same order."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return cut(df) if any(x in plan for x in ("Join", "Aggregate", "Sort", "Window", "Repartition", "Limit", "Distinct", "Sample")) else df
-
-
-def _encoded(df: DataFrame, path: str, keys: list[str], text_col: str, emit, schema: str, block_chars: int) -> DataFrame:
+def _encoded(df: DataFrame, path: str, keys: list[str], text_col: str, emit, schema: str, block_chars: int, reread: bool) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     parts = partitions(spark)
     inner = [f"__k{i}" for i in range(len(keys))]
-    source = _steady(df.select(*[F.col(c).alias(k) for c, k in zip(keys, inner, strict=True)], F.col(text_col).alias("__text")))
+    source = df.select(*[col(c).alias(k) for c, k in zip(keys, inner, strict=True)], col(text_col).alias("__text"))
+    source = source if reread else cut(source)
     asked = source.mapInArrow(_dictionaries(len(keys), parts, block_chars), _WORDS).repartition(parts, "part")
     answers = asked.mapInArrow(_encode(path), _ANSWERS)
     documents = source.mapInArrow(_positions(len(keys), parts, block_chars), _POSITIONS)
-    types = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for c, k in zip(keys, inner, strict=True))
-    joined = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join(path, inner, parts, emit), f"{types}, {schema}" if types else schema)
+    joined = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join(path, inner, parts, emit), renamed_columns(df, dict(zip(inner, keys, strict=True)), schema))
     return joined.select(*[F.col(k).alias(c) for c, k in zip(keys, inner, strict=True)], *emit.names)
 
 
@@ -191,44 +187,57 @@ def _ids(ids: np.ndarray) -> tuple:
     return (ids.astype(np.int32),)
 
 
-_ids.names = ["ids"]
+_ids.names, _ids.decodes = ["ids"], False
 
 
-def encode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_chars: int = BLOCK_CHARS, reread: bool = False) -> DataFrame:
     """keys and ids (array<int>) of every text, as the tokenizers library encodes it without added special tokens.
 
     Words are split in Spark. A block of documents sends each of its distinct words once, packed with those of the same
     hash; the task that holds a hash encodes each distinct word of the corpus once; ids go back to the blocks and are
     joined to the words' positions. Frequent words thus cost a row a block, never a row an occurrence, and no task holds
     more than a block or a hash's share of the distinct words. Null and empty texts have no ids. Rows repeat as they
-    come; columns that are not named as keys are not read.
+    come; columns that are not named as keys are not read. df is read twice: it is checkpointed first unless reread says
+    that a second reading gives the same rows in the same order, as Parquet files do.
     """
-    return _encoded(df, path, list(keys), text_col, _ids, "ids array<int>", block_chars)
+    return _encoded(df, path, list(keys), text_col, _ids, "ids array<int>", block_chars, reread)
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece): the vocabulary file as a table, of tens of thousands of rows whatever the corpus."""
+    table = pa.table({"id": pa.array(range(len(pieces(path))), pa.int32()), "piece": pa.array(pieces(path), pa.string())})
+    return spark.createDataFrame(table)
 
 
 def decode(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """keys and text: every id array joined to the id-to-piece table, a vocabulary of fixed size that each task holds.
+    """keys and text: every id joined to the id-to-piece table by a broadcast join, pieces put back in order.
 
     The result is the library's decode(ids, skip_special_tokens=False): for a vocabulary file without a decoder the
     pieces, a space between two. Null arrays decode to null, empty ones to the empty string; an id outside the
-    vocabulary is an error.
+    vocabulary is an error. Rows repeat as they come. The broadcast table's size is the vocabulary's, whatever df holds;
+    a row of ids goes through one task, as its text does.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    rows = cut(df.select(F.struct(*[col(c) for c in keys]).alias("row"), col(ids_col).alias("ids")).withColumn("n", F.monotonically_increasing_id()))
+    each = rows.where(F.size("ids") > 0).select("n", F.posexplode("ids").alias("at", "id"))
+    named = each.join(F.broadcast(piece_table(spark, path)), "id", "left")
+    piece = F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such id in the vocabulary: "), "id"))).otherwise(F.col("piece"))
+    texts = named.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda x: x["piece"]), " ").alias("text"))
+    whole = F.when(F.col("ids").isNull(), None).otherwise(F.coalesce("text", F.lit("")))
+    return rows.join(texts, "n", "left").select("row.*", whole.alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if x is None else decode_ids(np.array(x, np.int64), path) for x in batch.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(texts, pa.string())], [*keys, "text"])
 
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
-    return df.select(*keys, ids_col).mapInArrow(run, f"{types}, text string")
+def _digests(ids: np.ndarray, text: str) -> tuple:
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def round_trip_digests(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """keys, n_tokens, ids_sha256 and decoded_sha256 of every text: encode() and decode() in one pass, ids not stored."""
+_digests.names, _digests.decodes = ["n_tokens", "ids_sha256", "decoded_sha256"], True
 
-    def digests(ids: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(ids, path).encode()).hexdigest()
 
-    digests.names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return _encoded(df, path, list(keys), text_col, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", block_chars)
+def round_trip_digests(df: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", block_chars: int = BLOCK_CHARS, reread: bool = False) -> DataFrame:
+    """keys, n_tokens, ids_sha256 and decoded_sha256 of every text, as encode() and decode() give them, nothing stored.
+
+    The id-to-piece join is made in the distinct-word table, where each word's ids meet their pieces once a block, and
+    not for every occurrence: tokens would be a row each in a shuffle. Nulls, empties and repeated rows as in encode().
+    """
+    return _encoded(df, path, list(keys), text_col, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", block_chars, reread)

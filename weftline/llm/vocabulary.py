@@ -72,6 +72,9 @@ class WordEncoder:
 
     def __init__(self, path: str, dtype: str = "<u4"):
         self.path, self.dtype = path, dtype
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
