@@ -217,9 +217,11 @@ def test_large_keys_have_another_way(spark, monkeypatch):
         return {frozenset(g) for g in by.values()} | {frozenset([x]) for x in alone}
 
     assert found(simhash.fingerprint_links(df)) == wanted
-    hot = spark.createDataFrame([(0, int(x)) for x in signed], "a long, b long")
     monkeypatch.setattr(simhash, "TILE", 50)
-    assert found(simhash._hot_links(hot)) == wanted
+    monkeypatch.setattr(simhash, "HOT_KEY", 20)
+    hot = simhash._hot_keys(df, df.mapInArrow(simhash._emit_keys, "key long, fp long"))
+    assert hot.count() > 0 and hot.where("members <= 20").isEmpty()
+    assert found(simhash.fingerprint_links(df)) == wanted
 
 
 def test_representatives(docs):
@@ -335,14 +337,14 @@ def test_mixing(docs, table):
         assert len(got) == df.count()
         total = {}
         for r in got:
-            t = total.setdefault(r.source, [0, r["__target"], 0, 0])
-            t[0] += r["__size"] * r["__copies"]
-            t[2], t[3] = max(t[2], r["__size"]), t[3] + r["__size"]
-            assert 0 <= r["__copies"] <= 2
+            t = total.setdefault(r.row.source, [0, r["target"], 0, 0])
+            t[0] += r["size"] * r["copies"]
+            t[2], t[3] = max(t[2], r["size"]), t[3] + r["size"]
+            assert 0 <= r["copies"] <= 2
         assert all(abs(t[0] - t[1]) <= 2 * t[2] for t in total.values())
         assert sum(t[1] for t in total.values()) == pytest.approx(1.5 * sum(t[3] for t in total.values()))
         mixed = mixing.mix(df)
-        assert mixed.columns == df.columns and mixed.count() == sum(r["__copies"] for r in got)
+        assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 

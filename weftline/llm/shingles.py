@@ -1,4 +1,9 @@
-"""Near-deduplication by Jaccard similarity of word-shingle sets: MinHash finds candidates, the sets themselves decide."""
+"""Near-deduplication of texts at a Jaccard similarity of their word-shingle sets.
+
+SimHash fingerprints linked through Golay keys (simhash.py) give the candidates within three bits. Pairs down to 0.8
+differ in about ten bits of 64, which no bounded number of Golay keys reaches; keys of bands of least hashes find those.
+The sets themselves decide on every candidate.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import col, cut, partitions, ship
 from .components import components
-from .simhash import one_of_each
+from .simhash import fingerprint_links, majority, one_of_each, shingle_hashes
 
 #: Sets at least this similar are linked.
 LEAST_SIMILAR = 0.8
@@ -29,12 +34,8 @@ _TIMES, _PLUS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2] | np.uint64
 
 
 def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted 64-bit hashes of a UTF-8 text's word shingles, as simhash.fingerprint makes them, each once."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or b"").lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)], np.uint64))
+    """Sorted 64-bit hashes of a UTF-8 text's word shingles, each once."""
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
 def identity(found: np.ndarray) -> int:
@@ -148,17 +149,20 @@ def _linked(members: DataFrame, sizes: DataFrame, what: DataFrame, links_of) ->
 def _sketched(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys, sketches, size = [], [], [], []
+            fp, bits, keys, sketches, size = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
-                found = shingle_set(text.as_py(), shingle, seed)
+                hashes = shingle_hashes(text.as_py(), shingle, seed)
+                bits.append(majority(hashes))
+                found = np.unique(hashes)
                 k, s = sketch(found)
                 fp.append(identity(found))
                 keys.append(k)
                 sketches.append(s)
                 size.append(found.nbytes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(size, pa.int64())], ["th", "fp", "keys", "sketch", "size"])
+            simhash = pa.array(np.array(bits, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), simhash, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(size, pa.int64())], ["th", "fp", "simhash", "keys", "sketch", "size"])
 
-    return docs.mapInArrow(run, "th long, fp long, keys array<long>, sketch binary, size long")
+    return docs.mapInArrow(run, "th long, fp long, simhash long, keys array<long>, sketch binary, size long")
 
 
 def _sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -174,22 +178,27 @@ def shingle_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, se
     """(th, fp) for every distinct text hash, and (node, component) for each fp that links reach.
 
     Texts of equal shingle sets share a fp. Others are linked if their sets' Jaccard similarity is at least 0.8, which is
-    checked on the sets; a pair is seen if all hashes of one of 20 bands of 5 agree (0.9996 of pairs at 0.8, more above)
-    or if others link it to the same group. Sketches are compared inside each band's key, sets inside each group that
-    sketches join, so a set travels once (once a tile where a group is large).
+    checked on the sets; a pair is seen if its SimHash fingerprints differ in at most three bits, if all hashes of one of
+    20 bands of 5 agree (0.9996 of pairs at 0.8, more above) or if others link it to the same group. Sketches are compared
+    inside each band's key, sets inside each group that fingerprints and sketches join, so a set travels once (once a
+    tile where a group is large). Null, empty and blank texts have the empty set and are alike.
     """
     spark = docs.sparkSession
     ship(spark)
-    th = F.xxhash64(F.col(f"`{text_col}`"))
-    texts = docs.select(th.alias("th"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text"))
     rows = cut(_sketched(texts, shingle, seed))
     named = rows.select("th", "fp").distinct()
-    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("th", "keys", "sketch", "size")).alias("r")).select("fp", "r.*"))
+    nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("th", "simhash", "keys", "sketch", "size")).alias("r")).select("fp", "r.*"))
 
-    # candidates: groups that agreeing sketches join
+    # candidates: groups that close fingerprints and agreeing sketches join
+    close = components(fingerprint_links(nodes.select(F.col("simhash").alias("fp")).distinct())).withColumnRenamed("node", "simhash")
+    grouped = nodes.select("fp", "simhash").join(close, "simhash", "left").select("fp", F.coalesce("component", "simhash").alias("component"))
+    first = grouped.groupBy("component").agg(F.min("fp").alias("b"))
+    copies = grouped.join(first, "component").where("fp <> b").select(F.col("fp").alias("a"), "b")
     members = nodes.select(F.explode("keys").alias("key"), F.col("fp").alias("node"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("n"))
-    near = components(_linked(members, sizes, nodes.select(F.col("fp").alias("node"), F.col("sketch").alias("what")), agreeing))
+    banded = _linked(members, sizes, nodes.select(F.col("fp").alias("node"), F.col("sketch").alias("what")), agreeing)
+    near = components(banded.unionAll(copies))
 
     # decided on the sets
     group = cut(near.join(nodes.select(F.col("fp").alias("node"), "th", "size"), "node").select(F.col("component").alias("key"), "node", "th", "size"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, ship
+from .common import col, cut, partitions, ship
 from .components import components
 from .unionfind import forest
 
@@ -20,39 +20,43 @@ GENERATOR, LENGTH, CHECKS = 0xAE3, 23, 11
 #: Bit ranges of a 64-bit fingerprint; three segments, each at most as long as a codeword.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MOST_DIFFERENT = 3
-#: Members of one key that one task compares at once; larger keys are dealt out in tiles of this many.
+#: Members of one key that one task compares at once; keys of more than HOT_KEY are dealt out in tiles of this many.
 TILE = 4096
 HOT_KEY = 32 * TILE
+#: Low bits of a key (the kind of the key and one codeword index) that counts of groups of keys leave out.
+COARSE = 13
 
 
 # fingerprints
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a UTF-8 text: A-Z lower-cased, words between ASCII white space, shingles with repeats.
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included: A-Z lower-cased, words between ASCII white space.
 
-    A text with fewer words than a shingle has its whole sequence as its one shingle; without words (or null) it is 0.
+    A text with fewer words than a shingle has its whole sequence as its one shingle; without words (or null) it has none.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes; 0 of none."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        part = words[at : at + (1 << 16) + shingle - 1]
-        sep = b" ".join
-        if len(part) < shingle:
-            hashes = [xxh64_intdigest(sep(part), seed)]
-        else:
-            hashes = [xxh64_intdigest(sep(part[i : i + shingle]), seed) for i in range(len(part) - shingle + 1)]
-        h = np.array(hashes, "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > n).astype(np.uint8)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * counts > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
     ship(df.sparkSession)
@@ -63,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fp = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 # Golay keys
@@ -153,10 +157,6 @@ def close_pairs(left: np.ndarray, right: np.ndarray, most: int = MOST_DIFFERENT)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _link_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
-
-
 def _small_keys(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of all keys of 2 to 32 members at once: every member against the one s places on."""
     found_a, found_b = [], []
@@ -175,22 +175,19 @@ def _small_keys(key: np.ndarray, fp: np.ndarray, size: np.ndarray) -> tuple[np.n
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (fp[:0], fp[:0])
 
 
-def _links_of_sorted(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Whole keys, sorted: kind 0 rows are links of a spanning forest; kind 1 rows are members of keys too large for one task."""
+def _links_of_sorted(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Whole keys, sorted: links of a spanning forest."""
     group_key = key >> 1
     first = np.flatnonzero(np.concatenate([[True], group_key[1:] != group_key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    a, b = _small_keys(key, fp, size)
-    links = [(a, b)]
+    links = [_small_keys(key, fp, size)]
     for g in np.flatnonzero(size > 32):
         part, home = fp[first[g] : first[g] + size[g]], (key[first[g] : first[g] + size[g]] & 1) == 0
-        if size[g] > HOT_KEY:
-            yield _link_rows(1, key[first[g] : first[g] + size[g]], part)
-        elif home.any():
+        if home.any():
             i, j = close_pairs(part[home], part)
             links.append(forest(part[home][i], part[j]))
     a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
-    yield _link_rows(0, a, b)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +204,11 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
         whole = int(np.searchsorted(key >> 1, key[-1] >> 1))  # the last key may go on in the next batch
         if whole:
-            yield from _links_of_sorted(key[:whole], fp[:whole])
+            yield _links_of_sorted(key[:whole], fp[:whole])
         held, rows = [(key[whole:], fp[whole:])], len(key) - whole
     if rows:
         key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield from _links_of_sorted(key, fp)
+        yield _links_of_sorted(key, fp)
 
 
 def _tile_links(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -221,31 +218,54 @@ def _tile_links(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def _hot_links(hot: DataFrame) -> DataFrame:
-    """Links inside keys that have more members than one task should compare: all tiles against all tiles."""
-    hot = hot.select((F.shiftright("a", 1)).alias("key"), F.col("b").alias("fp")).distinct()
-    sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("n")).toDF("key", "n")
-    dealt = hot.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+def _hot_links(hot: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links inside the keys of sizes(key, members), which have more than one task should compare: hot(key, fp) is dealt
+    into tiles as it is shuffled, and all tiles of a key meet all others. No task holds more than two tiles."""
+    tiles = sizes.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("n"))
+    dealt = hot.select(F.shiftright("key", 1).alias("key"), "fp").join(tiles, "key").withColumn("t", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     left = dealt.select("key", "t", F.explode(F.sequence(F.col("t"), F.col("n") - 1)).alias("u"), "fp")
-    right = dealt.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("t"))).alias("t2"), F.col("t").alias("u2"), F.col("fp").alias("fp2")).toDF("key", "t", "u", "fp")
+    new = dealt.toDF(*dealt.columns)  # columns of its own, to be told from left's
+    right = new.select("key", F.explode(F.sequence(F.lit(0), F.col("t"))).alias("t"), F.col("t").alias("u"), "fp")
     return left.groupBy("key", "t", "u").cogroup(right.groupBy("key", "t", "u")).applyInArrow(_tile_links, "a long, b long")
 
 
+def _count_coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows fall to each group of 4,096 keys: some ten thousand counts a task."""
+    counts = np.zeros(3 << 12, np.int64)
+    for batch in batches:
+        fps = batch.column(0).to_numpy(zero_copy_only=False)
+        for at in range(0, len(fps), 512):
+            counts += np.bincount(keys_of(fps[at : at + 512])[0] >> COARSE, minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["coarse", "members"])
+
+
+def _hot_keys(distinct: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(hot, members): the keys with more than HOT_KEY members. Counts of groups of keys, which a group of so few
+    members cannot exceed, tell which keys have to be counted one by one."""
+    coarse = distinct.mapInArrow(_count_coarse, "coarse long, members long").groupBy("coarse").agg(F.sum("members").alias("members"))
+    large = cut(coarse.where(F.col("members") > HOT_KEY).select("coarse"))  # three times 4,096 rows at most
+    counted = keyed.withColumn("coarse", F.shiftright("key", COARSE)).join(F.broadcast(large), "coarse", "left_semi")
+    return cut(counted.groupBy(F.shiftright("key", 1).alias("hot")).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > HOT_KEY))
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """(a, b): links that join fingerprints of distinct(fp) differing in at most three bits.
 
     They leave every pair that differs so little in one component; of a dense group only a spanning forest is returned.
+    Keys with more members than one task should compare are known from counts before any task holds one.
     """
     spark = distinct.sparkSession
     ship(spark)
-    keyed = distinct.select("fp").mapInArrow(_emit_keys, "key long, fp long")
-    dealt = keyed.repartition(partitions(spark), F.shiftright("key", 1)).sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(_link, "kind int, a long, b long"))
-    links = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1")
-    if hot.isEmpty():
-        return links
-    return links.unionAll(_hot_links(hot))
+    distinct = distinct.select("fp")
+    keyed = distinct.mapInArrow(_emit_keys, "key long, fp long")
+    hot = _hot_keys(distinct, keyed)
+    some = not hot.isEmpty()
+    is_hot = F.shiftright("key", 1) == F.col("hot")
+    cold = keyed.join(hot, is_hot, "left_anti") if some else keyed
+    dealt = cold.repartition(partitions(spark), F.shiftright("key", 1)).sortWithinPartitions("key")
+    links = dealt.mapInArrow(_link, "a long, b long")
+    return cut(links.unionAll(_hot_links(keyed.join(hot, is_hot, "left_semi"), hot.withColumnRenamed("hot", "key"))) if some else links)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -269,22 +289,24 @@ def one_of_each(docs: DataFrame, named: DataFrame, found: DataFrame, id_col: str
     """One row of each component, all columns of docs kept: that with the least (id, nulls last; text hash).
 
     named(th, fp) gives each distinct text hash its fingerprint, found(node, component) each linked fingerprint its
-    component. Of rows that repeat both id and text any one stays.
+    component. Of rows that repeat both id and text that with the least hash of all its columns stays.
     """
-    doc_id, th = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
-    again = docs.select(doc_id.alias("id"), th.alias("th")).groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("th"))
+    again = rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n"))
     least = again.groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "n")).alias("r")).select("th", "r.*")
     component = named.join(found, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("component", "fp").alias("component"))
     best = least.join(component, "th").groupBy("component").agg(F.min(F.struct("nameless", "id", "th", "n")).alias("r"))
-    keep = cut(best.select(F.col("r.id").alias("__id"), F.col("r.th").alias("__th"), F.col("r.n").alias("__n")))
-    kept = docs.withColumn("__hash", th).join(keep, (F.col("__hash") == F.col("__th")) & doc_id.eqNullSafe(F.col("__id")))
-    if not keep.where("__n > 1").isEmpty():
-        kept = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__hash"]))
-    return kept.drop("__hash", "__id", "__th", "__n")
+    keep = cut(best.select(F.col("r.id").alias("kept_id"), F.col("r.th").alias("kept_th"), "r.n"))
+    kept = rows.join(keep, (F.col("th") == F.col("kept_th")) & F.col("id").eqNullSafe(F.col("kept_id")))
+    once = kept.where("n = 1").select("row.*")
+    if keep.where("n > 1").isEmpty():
+        return once
+    often = kept.where("n > 1").groupBy("kept_th").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.unionAll(often.select("row.*"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row of each near-duplicate group: that with the least doc_id (nulls last, then by text), all columns of docs kept."""
-    texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
+    texts = docs.select(F.xxhash64(col(text_col)).alias("th"), col(text_col).alias("text"))
     named = cut(fingerprints(texts, "th", "text", shingle, seed).toDF("th", "fp").distinct())
     return one_of_each(docs, named, components(fingerprint_links(named.select("fp").distinct())), id_col, text_col)
