@@ -23,8 +23,8 @@ LEAST_SIMILAR = 0.8
 #: A pair is a candidate if all hashes of a band agree, and so many of all: five standard deviations under 0.8.
 BANDS, BAND = 20, 5
 LEAST_AGREEING = 60
-#: Members, and bytes of sets, that one task compares at once; larger groups are dealt out in tiles of this many.
-TILE, TILE_BYTES = 4096, 1 << 25
+#: Members of a sketch's key, and bytes of sets, that one task compares at once; larger groups are dealt out in tiles.
+TILE, TILE_BYTES = 16384, 1 << 25
 
 _DRAWN = np.random.default_rng(42).integers(1, 1 << 63, (3, BANDS * BAND), np.uint64)
 _TIMES, _PLUS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2] | np.uint64(1)
@@ -191,14 +191,16 @@ def shingle_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, se
     nodes = cut(rows.groupBy("fp").agg(F.min(F.struct("th", "simhash", "keys", "sketch", "size")).alias("r")).select("fp", "r.*"))
 
     # candidates: groups that close fingerprints and agreeing sketches join
-    close = components(fingerprint_links(nodes.select(F.col("simhash").alias("fp")).distinct())).withColumnRenamed("node", "simhash")
-    grouped = nodes.select("fp", "simhash").join(close, "simhash", "left").select("fp", F.coalesce("component", "simhash").alias("component"))
-    first = grouped.groupBy("component").agg(F.min("fp").alias("b"))
-    copies = grouped.join(first, "component").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    first = cut(nodes.groupBy("simhash").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("sets")))
+    close = fingerprint_links(first.select(F.col("simhash").alias("fp")))
+    for side in "ab":
+        close = close.join(first.select(F.col("simhash").alias(side), F.col("first").alias(f"{side}_first")), side)
+    alike = nodes.join(first.where("sets > 1"), "simhash").where("fp <> first").select("fp", "first")
+    copies = close.select("a_first", "b_first").unionAll(alike)
     members = nodes.select(F.explode("keys").alias("key"), F.col("fp").alias("node"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / TILE).cast("int").alias("n"))
     banded = _linked(members, sizes, nodes.select(F.col("fp").alias("node"), F.col("sketch").alias("what")), agreeing)
-    near = components(banded.unionAll(copies))
+    near = components(banded.unionAll(copies.toDF("a", "b")))
 
     # decided on the sets
     group = cut(near.join(nodes.select(F.col("fp").alias("node"), "th", "size"), "node").select(F.col("component").alias("key"), "node", "th", "size"))
