@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from weftline.streaming import incremental as I
 
 
@@ -14,6 +16,40 @@ def test_a_batch_tried_again_counts_once(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").limit(50).cache()
     table = I.StateTable(spark, str(tmp_path))
     table.apply(events, 0)
-    table.version = None
     table.apply(events, 0)
     assert table.read().agg({"event_count": "sum"}).first()[0] == 50
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_state_survives_retries_and_restarts(spark, sf_dir, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").limit(90).cache()
+    parts = [events.where(F.col("event_id") % 3 == k) for k in range(3)]
+    wanted = I.rollup(I.partial(events))
+    I.StateTable(spark, str(tmp_path)).apply(parts[0], 0)
+    table = I.StateTable(spark, str(tmp_path))  # a new driver
+    table.apply(parts[0], 0)  # tried again after the pointer moved
+    broken = I.StateTable(spark, str(tmp_path))
+    monkeypatch.setattr(broken.pointer, "write", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    try:
+        broken.apply(parts[1], 1)  # fails once its table is written, before the pointer moves
+    except OSError:
+        pass
+    assert table.read().agg({"event_count": "sum"}).first()[0] == parts[0].count()
+    table.apply(parts[1], 1)
+    I.StateTable(spark, str(tmp_path)).apply(parts[2], 2)
+    assert same(I.rollup(table.read()), wanted)
+    assert I.StateTable(spark, str(tmp_path / "none")).read().count() == 0
+
+
+def test_replay_goes_on_where_it_was(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    early, late = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    early.repartition(2).write.parquet(source)
+    I.replay(spark, source, events.schema, out)
+    assert same(I.rollup(I.replay(spark, source, events.schema, out)), I.rollup(I.partial(early)))
+    late.coalesce(1).write.mode("append").parquet(source)
+    assert same(I.rollup(I.replay(spark, source, events.schema, out)), I.rollup(I.partial(events)))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from weftline.functions import lexicon as L
 from weftline.functions import text as X
 from weftline.operators import datasets as B
+from weftline.operators import shaping as O
 from weftline.plans import planner as R
 
 CASES = [
@@ -45,3 +46,23 @@ def test_enum_backfill_route(spark):
     with pytest.raises(ValueError):
         R.chain("timeline", "my_styles", {})
     assert B.scaled_counts({"a": 1, "b": 3}, 0.5, 10, "b") == {"a": 1, "b": 9}
+
+
+def test_entities_are_resolved_once_and_in_order(spark):
+    rows = ["a &amp;lt; b", "&lt;b&gt; &amp; &nbsp;c", "x\u3000\xa0 y\x1c z", "<SCRIPT a=1>no</script>t<style>p</style>", ""]
+    df = spark.createDataFrame([(x,) for x in rows], "s string")
+    got = [r[0] for r in df.select(X.clean_html(F.col("s"))).collect()]
+    assert got == ["a &lt; b", "<b> & c", "x y z", "t", ""]
+    assert df.select(X.clean_html(F.lit("&amp;quot;&#160;x"), full=True)).first()[0] == '" x'
+
+
+def test_no_digit_of_a_telephone_number_is_left(spark):
+    rows = {"8613812345678": "[PHONE]", "+86 13812345678.": "[PHONE].", "+86-021-12345678": "[PHONE]", "tel 010-1234567 or 0571 12345678": "tel [PHONE] or [PHONE]", "a.b@c.com 13912345678": "[EMAIL] [PHONE]", "12345": "12345"}
+    df = spark.createDataFrame([(x,) for x in rows], "s string")
+    assert [r[0] for r in df.select(X.mask_pii(F.col("s"))).collect()] == list(rows.values())
+
+
+def test_rows_without_a_stage_are_dealt_too(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, ""), (5, "其他")], "seq int, category string")
+    got = [(r.seq, r["round"]) for r in O.by_stage(rows, 10, "category", ["seq"]).collect()]
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 
 
+#: White space of any kind, inside a class, and telephone numbers; both engines read them alike.
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_PREFIX = rf"(?:\+?86[-{SPACE}]?)?"
+PHONE = rf"{_PREFIX}1[3-9]\p{{Nd}}{{9}}|{_PREFIX}\p{{Nd}}{{3,4}}[-{SPACE}]?\p{{Nd}}{{7,8}}"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -27,17 +33,19 @@ def first_group(c: Column, groups: dict[str, list[str]], pattern: bool = False)
 
 
 def clean_html(c: Column, full: bool = False) -> Column:
-    """Drops scripts, styles and tags, resolves the commonest entities, collapses white space."""
+    """Drops scripts, styles and tags, resolves the commonest entities, collapses white space. What `&amp;` leaves is not
+    resolved again, but for the entities that come after it in the full list."""
     c = F.regexp_replace(c, r"(?is)<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>", " ")
     c = F.regexp_replace(c, r"<[^>]+>", " ")
-    for name, to in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), *((("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "), ("&#10;", " "), ("&#13;", " ")) if full else ())):
+    for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), *((("&quot;", '"'), ("&apos;", "'"), ("&#160;", " "), ("&#10;", " "), ("&#13;", " ")) if full else ())):
         c = F.replace(c, F.lit(name), F.lit(to))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def mask_pii(c: Column) -> Column:
+    """E-mail addresses, then telephone numbers with or without the country's prefix, as placeholders."""
     c = F.regexp_replace(c, r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]")
-    return F.regexp_replace(c, r"1[3-9][0-9]{9}|[0-9]{3,4}[- ]?[0-9]{7,8}", "[PHONE]")
+    return F.regexp_replace(c, PHONE, "[PHONE]")
 
 
 def _all(c: Column, patterns: list[str], flags: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
+
 
 def first_n(rows: DataFrame, keys: list, order: list, n: int = 1) -> DataFrame:
     """The first n rows of each group. The ranking is limited before its shuffle as well as after."""
@@ -36,10 +38,12 @@ def by_date(rows: DataFrame, n: int, seq: list) -> DataFrame:
 
 
 def by_stage(rows: DataFrame, n: int, stage: str, seq: list[str]) -> DataFrame:
-    """Round robin over stages in the order of their first row. Each stage is limited to n before rounds are dealt."""
-    first = rows.groupBy(stage).agg(F.min(F.struct(*seq)).alias("stage_first"))
-    dealt = first_n(rows, [stage], seq, n).withColumnRenamed("rn", "round")
-    return dealt.join(F.broadcast(first.orderBy("stage_first").limit(n)), stage).orderBy("round", "stage_first").limit(n).drop("stage_first")
+    """Round robin over stages in the order of their first row; rows without a stage are of the rest category. Each stage
+    is limited to n before rounds are dealt, and of stages the first n matter: that many rows are broadcast."""
+    named = rows.withColumn("__stage", F.coalesce(F.nullif(F.col(stage).cast("string"), F.lit("")), F.lit(L.OTHER)))
+    first = named.groupBy("__stage").agg(F.min(F.struct(*seq)).alias("stage_first"))
+    dealt = first_n(named, ["__stage"], seq, n).withColumnRenamed("rn", "round")
+    return dealt.join(F.broadcast(first.orderBy("stage_first").limit(n)), "__stage").orderBy("round", "stage_first").limit(n).drop("stage_first", "__stage")
 
 
 def stat_only(rows: DataFrame) -> DataFrame:

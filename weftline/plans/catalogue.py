@@ -20,6 +20,7 @@ from ..operators import rollups as A
 from ..operators import shaping as O
 from ..operators import terms as T
 from ..streaming import graph_state as S
+from ..streaming.pointer import shared_folder
 from . import planner as R
 from .domain import CTE, SEQ, events, factories, style_factory, table
 from .oracles import _COS, _OWNERS, _PEOPLE, _SLOTS, _any, _key
@@ -193,9 +194,11 @@ def most_delayed_lately(t, ev, spark, sf):
 
 @query(f"{CTE} SELECT * FROM styles")
 def graph_state_equals_rebuild(t, ev, spark, sf):
-    parts = [S.partials(ev.where(F.col("order_id") % 3 == k)) for k in range(3)]
-    state = {name: S.merge(name, S.merge(name, parts[0][name], parts[1][name]), parts[2][name]) for name in ("styles", "style_orders")}
-    return S.styles(state)
+    """Three batches applied to the persisted state, whose tables then give the rollup."""
+    state = S.GraphState(spark, shared_folder(spark))
+    for k in range(3):
+        state.apply(ev.where(F.col("order_id") % 3 == k), k)
+    return S.styles(state.tables())
 
 
 # windows and shapes

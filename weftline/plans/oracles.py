@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
+from ..functions.text import PHONE, SPACE
 from .domain import CTE
 from .queries import NOW, NOW_TS, PERSON, STYLE
 
@@ -71,7 +72,7 @@ def _router() -> str:
 
 
 _COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
-_PHONE, _MAIL = "1[3-9][0-9]{9}|[0-9]{3,4}[- ]?[0-9]{7,8}", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 _NODES = """
   SELECT 'node' AS kind, 'Event' AS label, count(*) AS n FROM ev UNION ALL SELECT 'node', 'Style', count(DISTINCT style_id) FROM ev UNION ALL SELECT 'node', 'Person', count(DISTINCT person) FROM slots
   UNION ALL SELECT 'node', 'Category', count(DISTINCT category) FROM ev UNION ALL SELECT 'node', 'Email', count(DISTINCT order_id) FROM ev UNION ALL SELECT 'node', 'Factory', count(*) FROM supplier
@@ -133,11 +134,11 @@ SELECT *, round_even(total_delay_days / greatest(delay_event_count, 1), 2) AS av
     "continuation_page": f"{CTE} SELECT {SEQ}, date FROM ev WHERE order_id >= 100 ORDER BY {SEQ} LIMIT 15",
     "chunk_rounds": f"{CTE} SELECT {SEQ}, (row_number() OVER (PARTITION BY style_id ORDER BY date, order_id, line, factory_id) - 1) // 10 + 1 AS round, CAST(ceil(count(*) OVER (PARTITION BY style_id) / 10) AS BIGINT) AS total_rounds FROM ev",
     "most_common_stages": f"{CTE} SELECT event_type, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, min(order_id) LIMIT 3",
-    "pii_masked_documents": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{_PHONE}', '[PHONE]', 'g')) AS masked_md5 FROM documents",
+    "pii_masked_documents": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS masked_md5 FROM documents",
     "id_extraction": r"""WITH d AS (SELECT doc_id, text, upper(text) AS u FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[0-9]{7}\b'), list_concat(regexp_extract_all(text, '\b[0-9]{8}\b'), regexp_extract_all(text, '\b[0-9]{9}\b'))))), ',') AS order_ids,
   array_to_string(list_sort(list_distinct(flatten([regexp_extract_all(u, '\bCCSS\d{5,6}[A-Z]?\b'), regexp_extract_all(u, '\bINDO[A-Z]\d{3,6}\b'), regexp_extract_all(u, '\bAW\d{2}-[A-Z]+\d+\b'), regexp_extract_all(u, '\bAW\d{2}[A-Z]+\d+\b'), regexp_extract_all(u, '\bSS\d{2}[A-Z]+\d+\b'), regexp_extract_all(u, '\bCCAW\d{5,6}\b'), regexp_extract_all(u, '\bCDIB\d+\b'), regexp_extract_all(u, '\b\d{7}\b')]))), ',') AS style_ids FROM d""",
-    "html_to_text": r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""",
+    "html_to_text": f"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[{SPACE}]+', ' ', 'g'))) AS text_md5 FROM pages",
     "token_estimate": f"SELECT conv_id, CAST(sum({_MESSAGE}) AS BIGINT) AS tokens FROM conversations GROUP BY 1",
     "context_overflow": f"WITH u AS (SELECT conv_id, sum({_MESSAGE}) AS tokens FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN tokens >= 400 THEN 'overflow' WHEN tokens >= 320 THEN 'warning' ELSE 'ok' END AS status FROM u",
     "category_classifier": _classifier(),

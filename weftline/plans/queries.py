@@ -16,6 +16,7 @@ from ..operators import retrieval as V
 from ..operators import rollups as A
 from ..operators import shaping as O
 from ..streaming import incremental as I
+from ..streaming.pointer import shared_folder
 from . import planner as R
 from .domain import SEQ, departments, events, factories, style_factory, table
 
@@ -467,8 +468,10 @@ def stage_repetition(t, ev, spark, sf):
 
 @query
 def stream_rollup_equals_batch(t, ev, spark, sf):
-    parts = [I.partial(t("events").where(F.col("event_id") % 3 == k)) for k in range(3)]
-    return I.rollup(I.merge(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    """A real stream: files of events in micro-batches through the persisted state."""
+    out = shared_folder(spark)
+    t("events").repartition(3, "event_id").write.parquet(f"{out}/in")
+    return I.rollup(I.replay(spark, f"{out}/in", t("events").schema, out))
 
 
 @query

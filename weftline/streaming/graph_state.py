@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, rollups
+from .pointer import Pointer
 
 KEYS = {"styles": ["style_id"], "style_orders": ["style_id", "order_id"], "person_styles": ["person", "style_id"], "pairs": ["a", "b"], "categories": ["category"], "emails": ["email"]}
 _MERGE = {"n_": F.sum, "sum_": F.sum, "lo_": F.min, "hi_": F.max}
@@ -66,39 +67,74 @@ def emails(state: dict[str, DataFrame]) -> DataFrame:
     return state["emails"].select("email", F.col("n_events").alias("event_count"))
 
 
+#: Parts of each table, by a hash of its first key column (events and follows by their style).
+BUCKETS = 32
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def _places(name: str, at: dict) -> list[tuple[int, int]]:
+    """(version, bucket) of all that a table has: one version a bucket, but of events every batch's."""
+    return [tuple(x) for x in at.get(name, [])] if name == "events" else [(v, int(b)) for b, v in at.get(name, {}).items()]
+
+
 class GraphState:
-    """Versioned tables in a folder. All tables of a batch are written before the state points to them, so a batch that
-    fails leaves the state as it was, and one that is tried again counts once."""
+    """Bucketed tables in a folder. A batch appends its events, merges what it adds into the buckets that it touches and
+    leaves all others where they are, so its cost follows the batch and those buckets, not the history. Then a pointer
+    with the batch's number says which version each bucket has. A batch whose number the pointer has reached is passed
+    over; one that failed before left nothing that the pointer knows; a new object or driver goes on from the pointer."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
+        self.spark, self.path, self.pointer = spark, path, Pointer(spark, path)
 
-    def _at(self, version: int, name: str) -> str:
-        return f"{self.path}/v{version}/{name}"
+    def _read(self, name: str, places: list[tuple[int, int]]) -> DataFrame | None:
+        """Rows of (version, bucket) places, which have to be there."""
+        base = f"{self.path}/{name}"
+        paths = [f"{base}/v={v}/bucket={b}" for v, b in places]
+        return self.spark.read.option("basePath", base).parquet(*paths).drop("v", "bucket") if paths else None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(self.version, name))
+        _, at = self.pointer.read()
+        return self._read(name, _places(name, at))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in KEYS}
 
+    def _write(self, name: str, key: str, rows: DataFrame, batch_id: int) -> list[int]:
+        """The buckets that rows fill, BUCKETS of them at most."""
+        at = f"{self.path}/{name}/v={batch_id}"
+        rows.withColumn("bucket", _bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        return [int(n.removeprefix("bucket=")) for n in self.pointer.names(at) if n.startswith("bucket=")]
+
+    def _merge(self, name: str, key: str, new: DataFrame, at: dict, batch_id: int, redo) -> None:
+        """redo(old, new) makes the rows of the buckets that new touches, old being what they hold (None: nothing)."""
+        buckets = {r[0] for r in new.select(_bucket(key)).distinct().collect()}
+        old = self._read(name, [p for p in _places(name, at) if p[1] in buckets])
+        at.setdefault(name, {}).update({str(b): batch_id for b in self._write(name, key, redo(old, new), batch_id)})
+
     def apply(self, events: DataFrame, batch_id: int) -> None:
         """Adds valid events; those without a style are kept out of all tables but those of categories and mails."""
+        last, at = self.pointer.read()
+        if batch_id <= last:
+            return
         styled = events.where(F.col("style_id").isNotNull() & (F.col("style_id").cast("string") != "UNKNOWN"))
         new = partials(styled) | {k: v for k, v in partials(events).items() if k in ("categories", "emails")}
         for name, rows in new.items():
-            whole = rows if self.version is None else merge(name, self.table(name), rows)
-            whole.write.mode("overwrite").parquet(self._at(batch_id, name))
-        touched = styled.select("style_id", "category").distinct()
-        if self.version is None:
-            known, links = styled, graph.follows(styled)
-        else:
-            known = self.table("events").unionByName(styled)
+            self._merge(name, KEYS[name][0], rows, at, batch_id, lambda old, more, name=name: more if old is None else merge(name, old, more))
+
+        filled = self._write("events", "style_id", styled, batch_id)
+        at["events"] = [*at.get("events", []), *([batch_id, b] for b in filled)]
+        mine = self._read("events", [(batch_id, b) for b in filled])
+        if mine is not None:
+            touched = mine.select("style_id", "category").distinct()
+            known = self._read("events", [p for p in _places("events", at) if p[1] in filled])
             redone = graph.follows(known.join(touched, ["style_id", "category"], "left_semi"))
-            links = self.table("follows").join(touched, ["style_id", "category"], "left_anti").unionByName(redone)
-        links.write.mode("overwrite").parquet(self._at(batch_id, "follows"))
-        known.write.mode("overwrite").parquet(self._at(batch_id, "events"))
-        self.version = batch_id
+            old = self._read("follows", [p for p in _places("follows", at) if p[1] in filled])
+            whole = redone if old is None else old.join(touched, ["style_id", "category"], "left_anti").unionByName(redone)
+            at.setdefault("follows", {}).update({str(b): batch_id for b in self._write("follows", "style_id", whole, batch_id)})
+        self.pointer.write(batch_id, at)
 
     def touched(self, events: DataFrame) -> DataFrame:
         """(label, key): the nodes that a batch changes."""

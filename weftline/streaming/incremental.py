@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pointer import Pointer
+
 #: The state of a group: sums, extremes and the newest row, all of which merge in any order.
 STATE = "user_id long, event_count long, total_value double, first_ts timestamp_ntz, last_ts timestamp_ntz, latest struct<ts:timestamp_ntz,neg_id:long,event_type:string>"
 
@@ -27,28 +27,37 @@ def merge(states: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """A versioned table: each batch writes a new version beside the old and then points to it. A batch that is tried
-    again overwrites its own version, so it counts once."""
+    """A versioned table in a folder: each batch writes a new version beside the old, then a pointer to it with the batch's
+    number. A batch whose number the pointer has reached is in the state and is passed over, so one that is tried again
+    counts once, before the pointer moved or after; a new object or driver goes on from the pointer. Numbers must come
+    from one sequence: a stream needs the same checkpoint for as long as its state lives."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
+        self.spark, self.path, self.pointer = spark, path, Pointer(spark, path)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
+        last, _ = self.pointer.read()
+        if batch_id <= last:
+            return
         new = partial(batch)
-        whole = new if self.version is None else merge(self.read().unionByName(new))
-        target = f"{self.path}/v{batch_id}"
-        whole.write.mode("overwrite").parquet(target)
-        self.version = target
+        whole = new if last < 0 else merge(self.read().unionByName(new))
+        whole.write.mode("overwrite").parquet(self._at(batch_id))
+        self.pointer.write(batch_id, {})
+
+    def _at(self, version: int) -> str:
+        return f"{self.path}/v{version}"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.version)
+        last, _ = self.pointer.read()
+        return self.spark.createDataFrame([], STATE) if last < 0 else self.spark.read.parquet(self._at(last))
 
 
 def replay(spark: SparkSession, source: str, schema, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Streams a folder of event files in micro-batches through the state table and returns the final state."""
-    state = StateTable(spark, f"{path}/state-{uuid.uuid4().hex}")
+    """Streams a folder of event files in micro-batches through the state table and returns the state. State and
+    checkpoint lie side by side in path, so that a replay that was stopped goes on where it was, and counts new files only."""
+    state = StateTable(spark, f"{path}/state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(lambda df, n: state.apply(df, n)).option("checkpointLocation", f"{path}/checkpoint-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(lambda df, n: state.apply(df, n)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return state.read()
 
