@@ -8,6 +8,7 @@ SENDER_BLACKLIST = [r"postmaster@", r"mailer-daemon@"]
 SYSTEM_DOMAINS = ["editrack.com"]
 STYLE_PATTERNS = [r"\bCCSS\d{5,6}[A-Z]?\b", r"\bINDO[A-Z]\d{3,6}\b", r"\bAW\d{2}-[A-Z]+\d+\b", r"\bAW\d{2}[A-Z]+\d+\b", r"\bSS\d{2}[A-Z]+\d+\b", r"\bCCAW\d{5,6}\b", r"\bCDIB\d+\b", r"\b\d{7}\b"]
 P_SERIES = r"\bP\d{3}-[A-Z0-9]+-\d+\b"
+LOOSE_STYLE_PATTERNS = [r"[A-Z]{2}\d{0,2}-[A-Z]+\d+", r"[A-Z]{2}\d{0,2}[A-Z]+-\d+", r"[A-Z]{2,}\d+-\d+", r"[A-Z]{2}\d{0,2}[A-Z]+\d+", r"[A-Z]{3,}\d{4,}", r"[A-Z]{3,}\d{3,}", r"\b\d{7,9}\b"]
 BUSINESS_KEYWORDS = [
     "CCSS", "INDO", "AW", "SS", "CCAW", "CDIB", "样衣", "面料", "出货", "延期", "封样", "核料", "纸样", "试身", "修改", "产前", "测试", "船样", "验货", "开裁",
     "确认", "提交", "批复", "给意见", "回传", "查货", "sample", "fabric", "shipment", "fitting", "pattern", "lab dip", "pp sample", "bulk", "delivery", "qc",

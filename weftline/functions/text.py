@@ -230,3 +230,19 @@ def remove_noise(c: Column) -> Column:
     kept = F.array_join(F.aggregate(F.split(c, "\n"), start, step, lambda a: a["out"]), "\n")
     kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"(?i)\[IMAGE\d+\]", ""), r"\n{3,}", "\n\n"), r"[ \t]+", " ")
     return strip(kept)
+
+
+def party_or_unknown(c: Column) -> Column:
+    return F.coalesce(F.nullif(strip(c), F.lit("")), F.lit(L.UNKNOWN_PARTY))
+
+
+def day_label(at: Column, now: Column) -> Column:
+    """Today, yesterday, the day before, or the day and minute of earlier (and later) times."""
+    days = F.datediff(F.to_date(now), F.to_date(at))
+    moment = F.concat(F.month(at), F.lit("月"), F.day(at), F.lit("日 "), F.hour(at), F.lit(":"), F.lpad(F.minute(at).cast("string"), 2, "0"))
+    return F.when(days == 0, "今天").when(days == 1, "昨天").when(days == 2, "前天").otherwise(moment)
+
+
+def loose_style_id(c: Column) -> Column:
+    """The first match of the looser patterns, by the order of patterns; null if none matches."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.upper(c), f"(?U)({p})", 1), F.lit("")) for p in L.LOOSE_STYLE_PATTERNS])

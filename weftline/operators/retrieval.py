@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The most query vectors that go to every task.
+MOST_QUERIES = 1000
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -15,7 +19,10 @@ def norm(a: str) -> Column:
 
 
 def scored(store: DataFrame, queries: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Every stored row against each query of a bounded table (query_id, query): the one query table is broadcast."""
+    """Every stored row against each query of a bounded table (query_id, query), which is broadcast: more than
+    MOST_QUERIES are an error; tables of queries need an index."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     q = F.broadcast(queries.withColumn("qn", norm("query")))
     pairs = store.withColumn("sn", norm(vec)).join(q, F.lit(True))
     return pairs.withColumn("score", F.round(dot(vec, "query") / (F.col("sn") * F.col("qn")), 6)).drop("query", "qn", "sn")
@@ -52,10 +59,13 @@ def by_conditions(events: DataFrame, styles=None, categories=None, event_types=N
             out = out.where(F.col(column).isin(values))
     if min_delay_days is not None:
         out = out.where(F.coalesce("delay_days", F.lit(0)) >= min_delay_days)
+    raw = "shipped" in events.columns  # the stored date, by which files and row groups can be left out
     if start:
         out = out.where(F.coalesce("date", F.lit("")) >= start)
+        out = out.where(F.col("shipped") >= F.lit(start).cast("date")) if raw else out
     if end:
         out = out.where(F.coalesce("date", F.lit("")) <= end)
+        out = out.where(F.col("shipped").isNull() | (F.col("shipped") < F.date_add(F.lit(end).cast("date"), 1))) if raw else out
     return out
 
 
@@ -73,3 +83,20 @@ def batch_translate(terms: DataFrame, wanted: DataFrame, missing: str = "未找
     """One translation for each wanted term: exact by lower case, else the default with confidence 0."""
     t = terms.groupBy(F.lower("term").alias("k")).agg(F.min("translation").alias("translation"))
     return wanted.join(t, F.lower("wanted") == F.col("k"), "left").select("wanted", F.coalesce("translation", F.lit(missing)).alias("translation"), F.when(F.col("k").isNull(), 0.0).otherwise(1.0).alias("confidence"))
+
+
+def person_by_email(users: DataFrame, email: str) -> DataFrame:
+    """The user with this address, whatever its case; the first by user_id if several have it."""
+    return users.where(F.lower("email") == email.lower()).orderBy("user_id").limit(1)
+
+
+def attached(records: DataFrame, events: str, source: list[str]) -> DataFrame:
+    """Each event of a record's array, with the columns that tell where it comes from."""
+    return records.select(*source, F.inline(events))
+
+
+def owned(rows: DataFrame, **owner) -> DataFrame:
+    """Rows of one user, session or role; an owner that is not known owns nothing."""
+    for column, value in owner.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows

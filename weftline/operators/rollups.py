@@ -82,6 +82,17 @@ def collaborations(events: DataFrame) -> DataFrame:
     return with_common_styles(pairs(events), person_style(events).select("person", "style_id"))
 
 
+def collaborators_of(events: DataFrame, person: str) -> DataFrame:
+    """(other, event_count, style_count): collaborations of one person. Only events of that person's styles are read on."""
+    mine = events.where((F.col("party_from") == person) | (F.col("party_to") == person))
+    own = pairs(mine)
+    together = own.select(F.when(F.col("a") == person, F.col("b")).otherwise(F.col("a")).alias("other"), "event_count")
+    styles = mine.select("style_id").distinct()
+    shared = person_style(events.join(styles, "style_id", "left_semi")).select(F.col("person").alias("other"), "style_id")
+    common = shared.join(together, "other", "left_semi").groupBy("other").agg(F.count(F.lit(1)).alias("style_count"))
+    return together.join(common, "other", "left").select("other", "event_count", F.coalesce("style_count", F.lit(0)).alias("style_count"))
+
+
 def tiers(events: DataFrame, passed: int = 70, review: int = 50) -> DataFrame:
     return events.withColumn("tier", F.when(F.col("confidence") >= passed, "passed").when(F.col("confidence") >= review, "review").otherwise("discarded"))
 

@@ -135,3 +135,22 @@ def distinct_terms(terms: DataFrame, keys: list[str], seq: list[str]) -> DataFra
 
 def term_document(cn: Column, en: Column, category: Column) -> Column:
     return F.concat_ws(" ", F.concat(F.lit("CN: "), cn), F.concat(F.lit("EN: "), en), F.concat(F.lit("CAT: "), category))
+
+
+def expanded(texts: DataFrame, key: str, text: str, glossary: DataFrame, least: int = 3) -> DataFrame:
+    """(key, text): each run of Latin letters and spaces that the glossary(term, translation) knows, whatever its case, is
+    followed by its translation, unless the text has that already."""
+    runs = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(\b[a-zA-Z\s]+\b)"), F.lit(1))
+    words = texts.select(key, F.posexplode(F.transform(runs, strip)).alias("at", "run")).where(F.length("run") >= least)
+    known = glossary.where(F.coalesce("translation", F.lit("")) != "").groupBy(F.lower("term").alias("low")).agg(F.min("translation").alias("translation"))
+    found = words.join(known, F.lower("run") == F.col("low")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "run", "translation"))).alias("found"))
+    step = lambda a, x: F.when(a.contains(x["translation"]), a).otherwise(F.replace(a, x["run"], F.concat(x["run"], F.lit(" "), x["translation"])))
+    return texts.select(key, text).join(found, key, "left").select(key, F.when(F.col("found").isNull(), F.col(text)).otherwise(F.aggregate("found", F.col(text), step)).alias("text"))
+
+
+def notes(found: DataFrame, key: str, glossary: DataFrame) -> DataFrame:
+    """(key, note): a line for each term of found(key, term) that the glossary knows, in the terms' order."""
+    known = glossary.groupBy(F.lower("term").alias("low")).agg(F.min("translation").alias("translation"))
+    line = F.concat(F.lit("• "), "term", F.lit(" → "), "translation")
+    lines = found.select(key, "term").distinct().join(known, F.lower("term") == F.col("low")).groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return lines.select(key, F.concat(F.lit("=== 术语注释 ===\n"), F.array_join("lines", "\n")).alias("note"))

@@ -28,6 +28,8 @@ from .queries import EV_SEQ, NOW, PERSON, STYLE, owners, styles_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries that need the parties' names, as in queries.py.
+NAMED = frozenset("keyword_events_in_style distinct_path_values entity_thresholds style_overview resolved_styles person_delays default_person person_names graph_state_equals_rebuild".split())
 _SEQ = ", ".join(SEQ)
 _EV_SEQ = ", ".join(EV_SEQ)
 
@@ -36,7 +38,7 @@ def query(sql: str | None = None):
     def register(f):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: table(spark, sf_dir, name), events(spark, sf_dir), spark, sf_dir)
+            return f(lambda name: table(spark, sf_dir, name), events(spark, sf_dir, names=f.__name__ in NAMED), spark, sf_dir)
 
         QUERIES[f.__name__] = run
         if sql is not None:

@@ -6,6 +6,8 @@ pairs (style and order, person and style) are tables of their own, so distinct c
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def emails(state: dict[str, DataFrame]) -> DataFrame:
 
 
 #: Parts of each table, by a hash of its first key column (events and follows by their style).
-BUCKETS = 32
+BUCKETS = 16
 
 
 def _bucket(key: str):
@@ -110,19 +112,25 @@ class GraphState:
 
     def _merge(self, name: str, key: str, new: DataFrame, at: dict, batch_id: int, redo) -> None:
         """redo(old, new) makes the rows of the buckets that new touches, old being what they hold (None: nothing)."""
+        new = new.persist()
         buckets = {r[0] for r in new.select(_bucket(key)).distinct().collect()}
         old = self._read(name, [p for p in _places(name, at) if p[1] in buckets])
         at.setdefault(name, {}).update({str(b): batch_id for b in self._write(name, key, redo(old, new), batch_id)})
+        new.unpersist()
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
         """Adds valid events; those without a style are kept out of all tables but those of categories and mails."""
         last, at = self.pointer.read()
         if batch_id <= last:
             return
+        incoming = f"{self.path}/incoming/v={batch_id}"
+        events.write.mode("overwrite").parquet(incoming)  # read once, whatever it takes to make the batch
+        events = self.spark.read.schema(events.schema).parquet(incoming)
         styled = events.where(F.col("style_id").isNotNull() & (F.col("style_id").cast("string") != "UNKNOWN"))
         new = partials(styled) | {k: v for k, v in partials(events).items() if k in ("categories", "emails")}
-        for name, rows in new.items():
-            self._merge(name, KEYS[name][0], rows, at, batch_id, lambda old, more, name=name: more if old is None else merge(name, old, more))
+        with ThreadPoolExecutor(len(new)) as pool:  # small jobs, side by side
+            one = lambda name: self._merge(name, KEYS[name][0], new[name], at, batch_id, lambda old, more: more if old is None else merge(name, old, more))
+            list(pool.map(one, new))
 
         filled = self._write("events", "style_id", styled, batch_id)
         at["events"] = [*at.get("events", []), *([batch_id, b] for b in filled)]
