@@ -6,9 +6,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from duck import connect, of_spark, of_sql
 
-from weftline.plans import asked, catalogue, oracles, queries
+from weftline.plans import catalogue, oracles, pieces, queries
 
-QUERIES, ORACLE_SQL = queries.QUERIES | catalogue.QUERIES | asked.QUERIES, oracles.ORACLE_SQL | catalogue.ORACLE_SQL | asked.ORACLE_SQL
+QUERIES, ORACLE_SQL = queries.QUERIES | catalogue.QUERIES | pieces.QUERIES, oracles.ORACLE_SQL | catalogue.ORACLE_SQL | pieces.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

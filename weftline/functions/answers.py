@@ -21,7 +21,8 @@ def _joined(rows: DataFrame, key: list[str], order: list, line: Column) -> DataF
 def timelines(events: DataFrame, newest: DataFrame, key: str = "style_id", seq: tuple[str, ...] = ("order_id", "line", "factory_id")) -> DataFrame:
     """(key, answer): the events of `newest` (some per key, numbered by rn), and how many there are in all."""
     total = events.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
-    late = F.when(F.col("delay_days") == 0, "").otherwise(F.concat(F.lit(" "), delay_text(F.col("delay_days"))))
+    mark = F.when(F.col("delay_days") > 0, " ⚠️").when(F.col("delay_days") < 0, " ✅")
+    late = F.coalesce(F.concat(mark, delay_text(F.col("delay_days"))), F.lit(""))
     line = F.concat(F.lit("- **"), "date", F.lit("** | "), "category", F.lit(" · "), "event_type", late)
     body = _joined(newest, [key], ["rn"], line)
     note = F.when(F.col("total") > F.col("n"), F.format_string("\n\n*共 %d 条事件，以上为最近%d条*", "total", "n")).otherwise("")
@@ -54,12 +55,6 @@ def terms(hits: DataFrame, concise: bool = False) -> DataFrame:
     return best.join(rest, "query_id", "left").select("query_id", F.concat("head", F.coalesce(F.concat(F.lit("\n\n相关术语：\n"), "body"), F.lit(""))).alias("answer"))
 
 
-def merged_rounds(parts: DataFrame, key: str = "style_id") -> DataFrame:
-    """Reports of rounds(round, total_rounds, report) as one text a key; a single round stands as it is."""
-    title = F.when(F.col("total_rounds") > 1, F.format_string("## 第 %d/%d 轮\n\n", "round", "total_rounds")).otherwise("")
-    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("round", F.concat(title, "report").alias("t")))), lambda x: x["t"]), "\n\n").alias("answer"))
-
-
 def push(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, content): a morning's notes, one line each, worst first."""
     body = _joined(rows, keys, [(-F.col("delay_days")).alias("rank"), "style_id"], F.concat(F.lit("- "), F.col("style_id").cast("string"), F.lit("："), delay_text(F.col("delay_days"))))
@@ -75,4 +70,4 @@ def context_warning(used: Column, limit: int) -> Column:
     return F.when(used >= limit, "上下文已满，请开始新的会话。").when(used >= 0.8 * limit, F.format_string("上下文已使用 %d%%。", (100 * used / limit).cast("int"))).otherwise("")
 
 
-__all__ = ["RENDERERS", "context_warning", "delays", "merged_rounds", "people", "push", "table_row", "terms", "timelines"]
+__all__ = ["RENDERERS", "context_warning", "delays", "people", "push", "table_row", "terms", "timelines"]

@@ -360,7 +360,7 @@ def delay_answers(t, ev, spark, sf):
     return M.delays(styles_of(ev))
 
 
-_LATE = "CASE WHEN delay_days > 0 THEN ' 延期' || delay_days || '天' WHEN delay_days < 0 THEN ' 提前' || -delay_days || '天' ELSE '' END"
+_LATE = "CASE WHEN delay_days > 0 THEN ' ⚠️延期' || delay_days || '天' WHEN delay_days < 0 THEN ' ✅提前' || -delay_days || '天' ELSE '' END"
 
 
 @query(f"""{CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY style_id ORDER BY date DESC, {_EV_SEQ}) AS rn, count(*) OVER (PARTITION BY style_id) AS total FROM ev)
