@@ -188,7 +188,7 @@ def overviews(styles: DataFrame, key: str, order: list) -> DataFrame:
 def _extremes(factories: DataFrame, key: str) -> DataFrame:
     """(key, worst, longest): the factories with the most days and the longest average, where those are not zero."""
     facts = F.struct("name", "total_delay_days", "avg_delay")
-    top = lambda c: F.max_by(F.when(F.col(c) != 0, facts), F.struct(c, -F.col("factory_id")))
+    top = lambda c: F.max_by(facts, F.when(F.col(c) != 0, F.struct(c, -F.col("factory_id"))))
     return factories.groupBy(key).agg(top("total_delay_days").alias("worst"), top("avg_delay").alias("longest"))
 
 
