@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, mixing, neighbours, quality, sharding, simhash, token_counts, token_store, toxicity
-from .common import table, text_bytes
+from . import bpe, embedding_dedup, importance, merkle, mixing, neighbours, quality, quality_rules, sharding, simhash, token_counts, token_store, toxicity
+from .common import fresh_path, table, text_bytes
 
 #: Where the vocabulary files of public tokenizers are; a parameter of the operators.
 VOCABULARIES = "/opt/tokenizers"
@@ -97,9 +97,44 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(docs, vocabulary("word_bpe_49k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of a tenth towards `benchmark`; undrawn ones have no rank."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Where tampering is tried on: one document in so many.
+TAMPER = 7
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proof of every document in the Merkle tree of its lang's, and what tampered ones fold to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf(FIELDS, {"n_chars": (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")})
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPER == 0, F.lit(False))
+    leaves = docs.select("doc_id", "lang", merkle.leaf(FIELDS).alias("leaf"), F.when(hit, tampered).alias("tampered"))
+    proven = merkle.proofs(leaves, ("tampered",))
+    folded = merkle.fold(proven, F.coalesce("tampered", "leaf"))
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: What a document's leaf is made of, in this order.
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdict of every document: the ledger is written, then read under the policy in force. failures
+    are its bits, sole_rule the one rule without which a document would be kept."""
+    path = fresh_path(spark, "ledger")
+    quality_rules.write_ledger(table(spark, sf_dir, "documents"), path)
+    base, policy = quality_rules.POLICIES["base"], quality_rules.POLICIES["v2"]
+    rows, passes = spark.read.parquet(path), quality_rules.passes
+    measures = [m for m in quality_rules.MEASURES if m != "n_lines"]
+    return rows.select("doc_id", *measures, (~passes(base)).alias("base_failed"), (passes(base) & passes(policy)).alias("kept"), "failures", quality_rules.sole_rule(policy).alias("sole_rule"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_toxicity_chain, op3_quality_ranking, op4_external_shuffle, op5_token_counts, op6_bpe_round_trip, op7_source_mix, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_token_store)
+    for f in (op1_nearest_neighbours, op2_toxicity_chain, op3_quality_ranking, op4_external_shuffle, op5_token_counts, op6_bpe_round_trip, op7_source_mix, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_token_store, op11_importance_resampling, op12_merkle_manifest, op13_quality_rules)
 }
 
 #: DuckDB SQL, where SQL can express a query and is not too slow over whole tables.
