@@ -137,6 +137,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_nearest_neighbours, op2_toxicity_chain, op3_quality_ranking, op4_external_shuffle, op5_token_counts, op6_bpe_round_trip, op7_source_mix, op8_embedding_near_dedup, op9_simhash_near_dedup, op10_token_store, op11_importance_resampling, op12_merkle_manifest, op13_quality_rules)
 }
 
+#: DuckDB has no crc32: its table, then the CRC of a list of bytes.
+_CRC_TABLE = """crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's UTF-8 bytes, over crc(t)."""
+    code = f"hex(encode({text}))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length({code}) // 2 + 1 AS BIGINT)), lambda i: CAST('0x' || substr({code}, 2 * i - 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 #: DuckDB SQL, where SQL can express a query and is not too slow over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_nearest_neighbours": """
@@ -189,5 +202,79 @@ WITH RECURSIVE v AS (
 )
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE links.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+""",
+    "op11_importance_resampling": f"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT doc_id, unnest(coalesce(nullif(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []), [NULL])) AS word FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark
+), w AS MATERIALIZED (
+  SELECT word, {_crc("word")} % 10000 AS bucket FROM (SELECT word FROM d UNION SELECT word FROM b) x, crc WHERE word IS NOT NULL
+), s AS (SELECT bucket, count(*) AS n FROM d JOIN w USING (word) GROUP BY 1
+), t AS (SELECT bucket, count(*) AS n FROM b JOIN w USING (word) GROUP BY 1
+), g AS (
+  SELECT w.bucket, floor(1000 * ln(CAST(coalesce(max(t.n), 0) + 1 AS DOUBLE) * ((SELECT sum(n) FROM s) + 10000) / (CAST(coalesce(max(s.n), 0) + 1 AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS gain
+  FROM w LEFT JOIN s ON s.bucket = w.bucket LEFT JOIN t ON t.bucket = w.bucket GROUP BY 1
+), m AS (
+  SELECT doc_id, count(word) AS n_features, CAST(coalesce(floor(sum(gain) / nullif(count(word), 0)), 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN w USING (word) LEFT JOIN g USING (bucket) GROUP BY doc_id
+), c AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, n_features >= 20 AS may FROM m
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, floor(10 * count(*) OVER () / 100) AS want FROM c WHERE may)
+SELECT c.doc_id, n_features, weight, score, rank FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND rank <= want
+""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE}, d AS (
+  SELECT doc_id, lang, {_crc("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS hit,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS chars, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more, coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents, crc
+), leaves AS MATERIALIZED (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+    sha256(head || chars || tail) AS leaf, CASE WHEN hit THEN sha256(head || more || tail) ELSE sha256(head || chars || tail) END AS now FROM d
+), low AS MATERIALIZED (
+  SELECT g, 0 AS level, i, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY g, level, i // 2
+), subroots AS MATERIALIZED (SELECT g, node AS subroot, max(level) OVER () AS base FROM low WHERE n = 1
+), high AS MATERIALIZED (
+  SELECT 0 AS level, g AS i, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, i // 2
+), path AS MATERIALIZED (
+  SELECT doc_id, level, (i >> level) & 1 AS right_side, (SELECT node FROM low o WHERE o.g = x.g AND o.level = x.level AND o.i = xor(x.i >> x.level, 1)) AS sibling
+  FROM (SELECT doc_id, leaves.g, leaves.i, level FROM leaves JOIN (SELECT DISTINCT g, level FROM low WHERE n > 1) l ON l.g = leaves.g) x
+  UNION ALL
+  SELECT doc_id, 1000 + level, (g >> level) & 1, (SELECT node FROM high o WHERE o.level = x.level AND o.i = xor(x.g >> x.level, 1))
+  FROM (SELECT doc_id, leaves.g, level FROM leaves, (SELECT DISTINCT level FROM high WHERE n > 1) l) x
+), steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS k FROM path
+), fold AS (
+  SELECT doc_id, 0::BIGINT AS k, now FROM leaves
+  UNION ALL
+  SELECT f.doc_id, s.k, sha256(CASE WHEN sibling IS NULL THEN now WHEN right_side = 1 THEN sibling || now ELSE now || sibling END) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k + 1
+), ends AS (SELECT doc_id, arg_max(now, k) AS folded_root FROM fold GROUP BY 1
+), proof AS (SELECT doc_id, sha256(coalesce(string_agg(sibling, '' ORDER BY k), '')) AS proof_sha256 FROM steps GROUP BY 1
+), root AS (SELECT node AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (g) JOIN ends USING (doc_id) LEFT JOIN proof USING (doc_id), root
+""",
+    "op13_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d
+), windows AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, word, second, third) AS n FROM (
+    SELECT doc_id, pos, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) x WHERE third IS NOT NULL
+), repeats AS (SELECT doc_id, CAST(count(DISTINCT pos + k) AS BIGINT) AS n FROM windows, range(3) r(k) WHERE n > 1 GROUP BY 1
+), m AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN repeats USING (doc_id)
+), f AS (
+  SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 3 * n_words)::BIGINT + 8 * (word_chars > 10 * n_words)::BIGINT
+    + 16 * (10 * n_symbols > n_words)::BIGINT + 32 * (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (n_words > 100000)::BIGINT AS failures FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 63 = 0 AS kept, failures,
+  CASE failures & 63 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'short_words' WHEN 8 THEN 'long_words' WHEN 16 THEN 'symbols' WHEN 32 THEN 'repeated_lines' END AS sole_rule
+FROM f
 """,
 }
