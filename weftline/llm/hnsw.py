@@ -7,10 +7,13 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 
-#: Neighbours of a node at level 0 and above, how many of those at level 0 lead to nodes of higher levels, and candidates a node.
-NEAR, UPPER, FAR, WIDE = 32, 16, 8, 48
-#: A node is also in the next level with this chance.
-RISE = 1 / 16
+#: Neighbours of a node at level 0 and above, how many of those at level 0 lead to nodes of higher levels, places beyond
+#: them for links to nodes that no other link reaches, and candidates a node.
+NEAR, UPPER, FAR, JOINS, WIDE = 32, 16, 8, 4, 48
+#: A node is also in the next level with this chance, and if none of so many nearest ones is.
+RISE, COVER = 1 / 16, 12
+#: Candidates of a walk through an upper level, and how many of them a walk through the next level begins with.
+UPPER_BEAM, HANDED = 48, 8
 
 
 @dataclass
@@ -23,8 +26,8 @@ class Graph:
     near: np.ndarray
 
     def level(self, n: int) -> np.ndarray:
-        start = sum(int(self.size[i]) * (NEAR if i == 0 else UPPER) for i in range(n))
-        width = NEAR if n == 0 else UPPER
+        widths = [(UPPER if i else NEAR) + JOINS for i in range(n + 1)]
+        start, width = sum(int(self.size[i]) * widths[i] for i in range(n)), widths[n]
         return self.near[start : start + int(self.size[n]) * width].reshape(-1, width)
 
 
@@ -83,10 +86,10 @@ def _diverse(v: np.ndarray, nodes: np.ndarray, ids: np.ndarray, ds: np.ndarray,
     return out
 
 
-def _linked(v: np.ndarray, n: int, width: int) -> np.ndarray:
+def _linked(v: np.ndarray, n: int, width: int, candidates: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """One level: the first n vectors, linked both ways, at most `width` neighbours each."""
     x = v[:n]
-    ids, ds = _nearest(x, n, WIDE)
+    ids, ds = _nearest(x, n, WIDE) if candidates is None else candidates
     kept = _diverse(x, np.arange(n), ids, ds, width)
     src = np.repeat(np.arange(n), width)
     dst = kept.reshape(-1)
@@ -104,58 +107,89 @@ def _linked(v: np.ndarray, n: int, width: int) -> np.ndarray:
     return _diverse(x, np.arange(n), both, bd, width)
 
 
+def _raised(v: np.ndarray, level: np.ndarray, ids: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Levels so raised that each node of a level has one of the next among its COVER nearest there: a tight group of
+    more than COVER is never without a node of the next level. ids are the nearest nodes at level 0."""
+    level, n = level.copy(), 0
+    while True:
+        members = np.flatnonzero(level >= n)
+        if len(members) <= WIDE:
+            return level
+        near = ids[:, :COVER] if n == 0 else _nearest(v[members], len(members), COVER)[0]
+        above = level[members] > n
+        covered = above | (above[np.maximum(near, 0)] & (near >= 0)).any(1)
+        for i in rng.permutation(np.flatnonzero(~covered)):
+            if not above[near[i]].any():
+                above[i] = True
+        level[members[above]] = np.maximum(level[members[above]], n + 1)
+        n += 1
+
+
+def _joined(near: np.ndarray, first: int, v: np.ndarray) -> np.ndarray:
+    """near with JOINS more places, filled so that every node can be reached from the first ones: of the nodes that
+    cannot, the one nearest to a reached one is linked from there, and all that it leads to is reached, and so on."""
+    near = np.pad(near, ((0, 0), (0, JOINS)), constant_values=-1)
+    reached = np.zeros(len(near), bool)
+    reached[:first] = True
+    front = np.arange(first)
+    while True:
+        while len(front):
+            onward = np.unique(near[front])
+            front = onward[(onward >= 0) & ~reached[np.maximum(onward, 0)]]
+            reached[front] = True
+        if reached.all():
+            return near
+        free = np.flatnonzero(reached & (near[:, -1] < 0))
+        lost = np.flatnonzero(~reached)[:512]
+        d = _distances(v[lost], v[free])
+        at = int(d.min(1).argmin())
+        host = free[int(d[at].argmin())]
+        near[host, int(np.flatnonzero(near[host, -JOINS:] < 0)[0]) - JOINS] = lost[at]
+        front = lost[at : at + 1]
+        reached[front] = True
+
+
 def build(vectors: np.ndarray, seed: int = 42) -> tuple[Graph, np.ndarray]:
     """The graph, and the order in which it holds the vectors.
 
-    Nodes draw their highest level at random. In each level a node is linked to diverse near nodes of that level, and
-    back; at level 0 some places are kept for the nearest nodes of level 1, so that dense groups stay reachable.
+    Nodes draw their highest level at random and are raised where their surroundings have none of the next level. In
+    each level a node is linked to diverse near nodes of that level, and back; at level 0 some places are kept for the
+    nearest nodes of level 1. What no link reaches from the level above is linked to, so every node can be found.
     """
     n = len(vectors)
     rng = np.random.default_rng(seed)
     level = np.minimum((-np.log(rng.random(n)) / np.log(1 / RISE)).astype(int), 6)
+    raw = np.ascontiguousarray(vectors, np.float32)
+    ids, ds = _nearest(raw, n, WIDE) if n else (np.empty((0, 0), np.int32), np.empty((0, 0), np.float32))
+    level = _raised(raw, level, ids, rng)
     order = np.argsort(-level, kind="stable")
-    v, level = np.ascontiguousarray(vectors[order], np.float32), level[order]
+    v, level = raw[order], level[order]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    ids = np.where(ids[order] >= 0, place[np.maximum(ids[order], 0)], -1) if n else ids
     size = np.array([int((level >= i).sum()) for i in range(int(level.max(initial=0)) + 1)])
     rows = []
     for i, m in enumerate(size):
-        near = _linked(v, int(m), NEAR if i == 0 else UPPER)
+        near = _linked(v, int(m), UPPER if i else NEAR, None if i else (ids, ds[order]))
+        above = int(size[i + 1]) if i + 1 < len(size) else 1
         if i == 0 and len(size) > 1:
-            far, _ = _nearest(v, int(size[1]), FAR)
+            far, _ = _nearest(v, above, FAR)
             near[:, NEAR - far.shape[1] :] = np.where(far >= 0, far, near[:, NEAR - far.shape[1] :])
-        rows.append(near.reshape(-1))
+        rows.append(_joined(near, min(above, int(m)), v[: int(m)]).reshape(-1))
     return Graph(v, size, np.concatenate(rows) if rows else np.empty(0, np.int32)), order
 
 
-def search(g: Graph, queries: np.ndarray, k: int, beam: int = 96) -> tuple[np.ndarray, np.ndarray]:
-    """Node numbers and squared distances of about the k nearest to each query, nearest first; -1 where there are fewer.
-
-    All queries walk together: greedily down the upper levels, then with a beam through level 0.
-    """
-    q, n, v = np.ascontiguousarray(queries, np.float32), len(g.vectors), g.vectors
-    m, beam = len(q), max(beam, k)
-    if not n or not m:
-        return np.full((m, k), -1, np.int64), np.full((m, k), np.inf, np.float32)
-    at = np.zeros(m, np.int64)
-    best = ((q - v[0]) ** 2).sum(1)
-    for level in range(len(g.size) - 1, 0, -1):
-        near, moving = g.level(level), np.arange(m)
-        while len(moving):
-            c = near[at[moving]]
-            d = np.where(c >= 0, ((v[np.maximum(c, 0)] - q[moving, None, :]) ** 2).sum(2), np.inf)
-            j = d.argmin(1)
-            nd = d[np.arange(len(moving)), j]
-            better = nd < best[moving]
-            moving, j, nd, c = moving[better], j[better], nd[better], c[better]
-            at[moving], best[moving] = c[np.arange(len(moving)), j], nd
-    near = g.level(0)
-    ids = np.full((m, beam), -1, np.int64)
-    ds = np.full((m, beam), np.inf, np.float32)
+def _walk(v: np.ndarray, near: np.ndarray, q: np.ndarray, ids: np.ndarray, ds: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `beam` nearest nodes of one level that walks from the given ones meet, nearest first."""
+    m, step = len(q), 2
+    beam = max(beam, ids.shape[1])
+    extra = ((0, 0), (0, beam - ids.shape[1]))
+    ids, ds = np.pad(ids, extra, constant_values=-1), np.pad(ds, extra, constant_values=np.inf)
     done = np.zeros((m, beam), bool)
-    seen = np.zeros((m, n), bool)
-    ids[:, 0], ds[:, 0] = at, best
-    seen[np.arange(m), at] = True
+    seen = np.zeros((m, len(near)), bool)
+    r, col = np.nonzero(ids >= 0)
+    seen[r, ids[r, col]] = True
     walking = np.arange(m)
-    step = 2
     while len(walking):
         w_ids, w_ds, w_done = ids[walking], ds[walking], done[walking]
         waiting = np.where((w_ids >= 0) & ~w_done, w_ds, np.inf)
@@ -187,8 +221,23 @@ def search(g: Graph, queries: np.ndarray, k: int, beam: int = 96) -> tuple[np.nd
         ds[walking] = np.take_along_axis(all_ds, keep, 1)
         ids[walking] = np.where(np.isfinite(ds[walking]), np.take_along_axis(all_ids, keep, 1), -1)
         done[walking] = np.take_along_axis(all_done, keep, 1)
-    order = np.argsort(ds, axis=1, kind="stable")[:, :k]
-    out, od = np.take_along_axis(ids, order, 1), np.take_along_axis(ds, order, 1)
+    order = np.argsort(ds, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(ds, order, 1)
+
+
+def search(g: Graph, queries: np.ndarray, k: int, beam: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    """Node numbers and squared distances of about the k nearest to each query, nearest first; -1 where there are fewer.
+
+    All queries walk together, with a beam through every level; a walk begins with the nearest that the level above met.
+    """
+    q, n, v = np.ascontiguousarray(queries, np.float32), len(g.vectors), g.vectors
+    m, beam = len(q), max(beam, k)
+    if not n or not m:
+        return np.full((m, k), -1, np.int64), np.full((m, k), np.inf, np.float32)
+    ids, ds = np.zeros((m, 1), np.int64), ((q - v[0]) ** 2).sum(1)[:, None]
+    for level in range(len(g.size) - 1, -1, -1):
+        ids, ds = _walk(v, g.level(level), q, ids[:, :HANDED], ds[:, :HANDED], UPPER_BEAM if level else beam)
+    out, od = ids[:, :k], ds[:, :k]
     if out.shape[1] < k:
         pad = k - out.shape[1]
         out, od = np.pad(out, ((0, 0), (0, pad)), constant_values=-1), np.pad(od, ((0, 0), (0, pad)), constant_values=np.inf)
