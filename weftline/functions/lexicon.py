@@ -60,5 +60,5 @@ EVENT_FOCUS = {
     "客户回复": ["客户回复", "客人回复", "客户意见", "客人确认", "feedback"], "工厂问题": ["工厂问题", "工厂反映", "工厂困难", "factory issue"], "Lab Dip": ["lab dip", "色卡", "染色小样"], "面料确认": ["面料确认", "布料确认"],
 }
 TERM_STOPWORDS = ["the", "and", "for", "with", "this", "that", "from", "have", "been", "were", "are", "you", "your", "will", "请", "谢谢", "您好", "关于", "如下", "如下所示"]
-ROLE_WORDS = ["工厂", "客户", "供应商", "未知"]
+ROLE_WORDS = ["未知", "工厂", "客人", "供应商"]
 UNKNOWN_PARTY, OTHER = "未知", "其他"

@@ -18,7 +18,7 @@ from ..operators import rollups as A
 from ..operators import shaping as O
 from ..sources import readers, writers
 from ..streaming.pointer import shared_folder
-from . import asked, templated  # noqa: F401  (registers its queries)
+from . import asked, built, templated  # noqa: F401  (registers its queries)
 from . import planner as R
 from .asked import query
 from .domain import CTE, SEQ, departments, factories, style_factory
@@ -342,7 +342,7 @@ def organization_read(e, t):
     at = f"{shared_folder(e.spark)}/organization"
     one = departments(e.spark, e.sf_dir).agg(F.collect_list(F.struct(F.col("dept_id").cast("string").alias("id"), F.col("dept").alias("name"))).alias("departments"))
     one.select(F.to_json(F.struct("departments")).alias("value")).write.text(at)
-    return readers.read_organization(e.spark, at)["departments"]
+    return readers.read_organization(e.spark, at)["departments"].drop("seq")
 
 
 @query()

@@ -38,13 +38,26 @@ class Pointer:
         done = [int(n.removesuffix(".json")) for n in self.names(self.folder) if n.endswith(".json") and not n.startswith("_")]
         if not done:
             return -1, {}
-        stream = self._fs.open(self._path(f"{self.folder}/{max(done)}.json"))
+        return max(done), self._load(f"{max(done)}.json")
+
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
         try:
-            return max(done), json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def read_all(self) -> dict[str, dict]:
+        """Every pointer by its name."""
+        return {n.removesuffix(".json"): self._load(n) for n in self.names(self.folder) if n.endswith(".json") and not n.startswith("_")}
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/{name}.json"), False)
+
     def write(self, batch: int, content: dict) -> None:
+        self.write_named(str(batch), content)
+
+    def write_named(self, batch: str, content: dict) -> None:
         aside = self._path(f"{self.folder}/_{batch}-{uuid.uuid4().hex}")
         out = self._fs.create(aside, True)
         out.write(bytearray(json.dumps(content).encode()))
