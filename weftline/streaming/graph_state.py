@@ -6,13 +6,11 @@ pairs (style and order, person and style) are tables of their own, so distinct c
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, rollups
-from .pointer import Pointer
+from .runs import FAN, Runs
 
 KEYS = {"styles": ["style_id"], "style_orders": ["style_id", "order_id"], "person_styles": ["person", "style_id"], "pairs": ["a", "b"], "categories": ["category"], "emails": ["email"]}
 _MERGE = {"n_": F.sum, "sum_": F.sum, "lo_": F.min, "hi_": F.max}
@@ -38,9 +36,12 @@ def partials(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def merge(name: str, old: DataFrame, new: DataFrame) -> DataFrame:
+def merge(name: str, rows: DataFrame) -> DataFrame:
+    """One row a key; events and rows in quarantine have no key and stay as they are."""
+    if name not in KEYS:
+        return rows
     how = lambda c: next(f for p, f in _MERGE.items() if c.startswith(p))
-    return old.unionByName(new).groupBy(*KEYS[name]).agg(*[how(c)(c).alias(c) for c in new.columns if c not in KEYS[name]])
+    return rows.groupBy(*KEYS[name]).agg(*[how(c)(c).alias(c) for c in rows.columns if c not in KEYS[name]])
 
 
 # the tables as the rollups have them
@@ -69,80 +70,78 @@ def emails(state: dict[str, DataFrame]) -> DataFrame:
     return state["emails"].select("email", F.col("n_events").alias("event_count"))
 
 
-#: Parts of each table, by a hash of its first key column (events and follows by their style).
-BUCKETS = 16
-
-
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
+#: What tables without a key are sorted by.
+SORTED = {"events": ["style_id", "category", "date", *SEQ], "quarantine": ["batch", "reason"]}
 
 
-def _places(name: str, at: dict) -> list[tuple[int, int]]:
-    """(version, bucket) of all that a table has: one version a bucket, but of events every batch's."""
-    return [tuple(x) for x in at.get(name, [])] if name == "events" else [(v, int(b)) for b, v in at.get(name, {}).items()]
+def problem(events: DataFrame) -> Column:
+    """Why an event cannot be applied as it is; null if it can. The first reason that holds is given."""
+    dated = F.col("date").isNull() | (F.col("date") == "") | F.try_to_date("date", "yyyy-MM-dd").isNotNull()
+    key = F.col("style_id").cast("string")
+    checks = {"no mail": F.col("order_id").isNull(), "no category": F.col("category").isNull() | (F.col("category") == ""), "date": ~dated, "no style": key.isNull() | key.isin("", "UNKNOWN")}
+    why = F.lit(None).cast("string")
+    for name, failed in reversed(checks.items()):
+        why = F.when(failed, name).otherwise(why)
+    return why
 
 
 class GraphState:
-    """Bucketed tables in a folder. A batch appends its events, merges what it adds into the buckets that it touches and
-    leaves all others where they are, so its cost follows the batch and those buckets, not the history. Then a pointer
-    with the batch's number says which version each bucket has. A batch whose number the pointer has reached is passed
-    over; one that failed before left nothing that the pointer knows; a new object or driver goes on from the pointer."""
+    """The graph's tables as runs in a folder (see Runs): what a batch reads and writes follows the batch, not the history.
+
+    A batch is written once as it came, then parted: events that can be applied, and those that cannot, which go to a
+    table `quarantine` with their batch and reason. Those without a style count for categories and mails all the same,
+    which need none; those with any other reason count nowhere. A pointer with the batch's number, its runs and its
+    counts is written last, so tables, quarantine and counts move together or not at all: a batch whose number the
+    pointer has reached is passed over, one that failed before left nothing that the pointer knows, and a new object or
+    driver goes on from the pointer.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fan: int = FAN):
+        self.spark, self.path = spark, path
+        self.runs = Runs(spark, path, KEYS | SORTED, merge, fan)
+        self.pointer = self.runs.pointer
+
+    def table(self, name: str) -> DataFrame | None:
+        """A table as of the last batch. `follows` is read off the events, whose runs are sorted by style."""
+        if name == "follows":
+            return self.follows()
+        return self.runs.read(name, self.pointer.read()[1])
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.pointer = spark, path, Pointer(spark, path)
-
-    def _read(self, name: str, places: list[tuple[int, int]]) -> DataFrame | None:
-        """Rows of (version, bucket) places, which have to be there."""
-        base = f"{self.path}/{name}"
-        paths = [f"{base}/v={v}/bucket={b}" for v, b in places]
-        return self.spark.read.option("basePath", base).parquet(*paths).drop("v", "bucket") if paths else None
+    def tables(self) -> dict[str, DataFrame]:
+        _, content = self.pointer.read()
+        return {name: self.runs.read(name, content) for name in KEYS}
 
-    def table(self, name: str) -> DataFrame:
-        _, at = self.pointer.read()
-        return self._read(name, _places(name, at))
+    def follows(self, style_ids: list | None = None) -> DataFrame:
+        """Successors among the events, of some styles only if any are given: then only their part of each run is read."""
+        ev = self.table("events")
+        return graph.follows(ev if style_ids is None else ev.where(F.col("style_id").isin(list(style_ids))))
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in KEYS}
-
-    def _write(self, name: str, key: str, rows: DataFrame, batch_id: int) -> list[int]:
-        """The buckets that rows fill, BUCKETS of them at most."""
-        at = f"{self.path}/{name}/v={batch_id}"
-        rows.withColumn("bucket", _bucket(key)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
-        return [int(n.removeprefix("bucket=")) for n in self.pointer.names(at) if n.startswith("bucket=")]
-
-    def _merge(self, name: str, key: str, new: DataFrame, at: dict, batch_id: int, redo) -> None:
-        """redo(old, new) makes the rows of the buckets that new touches, old being what they hold (None: nothing)."""
-        new = new.persist()
-        buckets = {r[0] for r in new.select(_bucket(key)).distinct().collect()}
-        old = self._read(name, [p for p in _places(name, at) if p[1] in buckets])
-        at.setdefault(name, {}).update({str(b): batch_id for b in self._write(name, key, redo(old, new), batch_id)})
-        new.unpersist()
+    def counts(self) -> dict[str, dict[str, int]]:
+        """incoming, applied and quarantined, of the last batch and of all: applied and quarantined add up to incoming."""
+        return self.pointer.read()[1].get("counts", {})
 
     def apply(self, events: DataFrame, batch_id: int) -> None:
-        """Adds valid events; those without a style are kept out of all tables but those of categories and mails."""
-        last, at = self.pointer.read()
+        last, content = self.pointer.read()
         if batch_id <= last:
             return
         incoming = f"{self.path}/incoming/v={batch_id}"
-        events.write.mode("overwrite").parquet(incoming)  # read once, whatever it takes to make the batch
-        events = self.spark.read.schema(events.schema).parquet(incoming)
-        styled = events.where(F.col("style_id").isNotNull() & (F.col("style_id").cast("string") != "UNKNOWN"))
-        new = partials(styled) | {k: v for k, v in partials(events).items() if k in ("categories", "emails")}
-        with ThreadPoolExecutor(len(new)) as pool:  # small jobs, side by side
-            one = lambda name: self._merge(name, KEYS[name][0], new[name], at, batch_id, lambda old, more: more if old is None else merge(name, old, more))
-            list(pool.map(one, new))
-
-        filled = self._write("events", "style_id", styled, batch_id)
-        at["events"] = [*at.get("events", []), *([batch_id, b] for b in filled)]
-        mine = self._read("events", [(batch_id, b) for b in filled])
-        if mine is not None:
-            touched = mine.select("style_id", "category").distinct()
-            known = self._read("events", [p for p in _places("events", at) if p[1] in filled])
-            redone = graph.follows(known.join(touched, ["style_id", "category"], "left_semi"))
-            old = self._read("follows", [p for p in _places("follows", at) if p[1] in filled])
-            whole = redone if old is None else old.join(touched, ["style_id", "category"], "left_anti").unionByName(redone)
-            at.setdefault("follows", {}).update({str(b): batch_id for b in self._write("follows", "style_id", whole, batch_id)})
-        self.pointer.write(batch_id, at)
+        events.withColumn("reason", problem(events)).write.mode("overwrite").parquet(incoming)  # read once, whatever it takes to make the batch
+        told = self.spark.read.parquet(incoming)
+        row = told.agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("bad")).first()
+        counts = {"incoming": row.n, "applied": row.n - row.bad, "quarantined": row.bad}
+        good = told.where("reason IS NULL").drop("reason")
+        counted = told.where("reason IS NULL OR reason = 'no style'").drop("reason")
+        new = partials(good) | {k: v for k, v in partials(counted).items() if k in ("categories", "emails")}
+        new |= {"events": good, "quarantine": told.where("reason IS NOT NULL").withColumn("batch", F.lit(batch_id).cast("long"))}
+        content = self.runs.add(new, batch_id, content)
+        total = content.get("counts", {}).get("all", {})
+        content["counts"] = {"batch": counts, "all": {k: n + total.get(k, 0) for k, n in counts.items()}}
+        self.pointer.write(batch_id, content)
+        self.pointer.delete(incoming)
+
+    def vacuum(self) -> list[str]:
+        """Deletes what merged runs have replaced; for when no reader of an earlier batch is left."""
+        return self.runs.vacuum(self.pointer.read()[1])
 
     def touched(self, events: DataFrame) -> DataFrame:
         """(label, key): the nodes that a batch changes."""

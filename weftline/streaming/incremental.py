@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pointer import Pointer
+from .runs import Runs
 
 #: The state of a group: sums, extremes and the newest row, all of which merge in any order.
 STATE = "user_id long, event_count long, total_value double, first_ts timestamp_ntz, last_ts timestamp_ntz, latest struct<ts:timestamp_ntz,neg_id:long,event_type:string>"
@@ -27,29 +27,25 @@ def merge(states: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """A versioned table in a folder: each batch writes a new version beside the old, then a pointer to it with the batch's
-    number. A batch whose number the pointer has reached is in the state and is passed over, so one that is tried again
-    counts once, before the pointer moved or after; a new object or driver goes on from the pointer. Numbers must come
-    from one sequence: a stream needs the same checkpoint for as long as its state lives."""
+    """A state of all users as runs in a folder (see Runs): a batch adds its own users' states, then a pointer with the
+    batch's number. A batch whose number the pointer has reached is in the state and is passed over, so one that is tried
+    again counts once, before the pointer moved or after; a new object or driver goes on from the pointer. Numbers must
+    come from one sequence: a stream needs the same checkpoint for as long as its state lives."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.pointer = spark, path, Pointer(spark, path)
+        self.spark, self.path = spark, path
+        self.runs = Runs(spark, path, {"users": ["user_id"]}, lambda _, rows: merge(rows))
+        self.pointer = self.runs.pointer
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        last, _ = self.pointer.read()
+        last, content = self.pointer.read()
         if batch_id <= last:
             return
-        new = partial(batch)
-        whole = new if last < 0 else merge(self.read().unionByName(new))
-        whole.write.mode("overwrite").parquet(self._at(batch_id))
-        self.pointer.write(batch_id, {})
-
-    def _at(self, version: int) -> str:
-        return f"{self.path}/v{version}"
+        self.pointer.write(batch_id, self.runs.add({"users": partial(batch)}, batch_id, content))
 
     def read(self) -> DataFrame:
-        last, _ = self.pointer.read()
-        return self.spark.createDataFrame([], STATE) if last < 0 else self.spark.read.parquet(self._at(last))
+        found = self.runs.read("users", self.pointer.read()[1])
+        return self.spark.createDataFrame([], STATE) if found is None else found
 
 
 def replay(spark: SparkSession, source: str, schema, path: str, files_per_batch: int = 1) -> DataFrame:

@@ -52,10 +52,17 @@ class Pointer:
         return {n.removesuffix(".json"): self._load(n) for n in self.names(self.folder) if n.endswith(".json") and not n.startswith("_")}
 
     def remove(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.folder}/{name}.json"), False)
+        self.delete(f"{self.folder}/{name}.json")
 
-    def write(self, batch: int, content: dict) -> None:
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def write(self, batch: int, content: dict, keep: int = 16) -> None:
+        """Moves on to a batch; of the pointers before it the last ones are kept."""
         self.write_named(str(batch), content)
+        for n in self.names(self.folder):
+            if n.endswith(".json") and not n.startswith("_") and int(n.removesuffix(".json")) <= batch - keep:
+                self.remove(n.removesuffix(".json"))
 
     def write_named(self, batch: str, content: dict) -> None:
         aside = self._path(f"{self.folder}/_{batch}-{uuid.uuid4().hex}")
