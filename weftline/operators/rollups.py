@@ -70,10 +70,23 @@ def pairs(events: DataFrame) -> DataFrame:
     return events.where(F.col("party_from") != F.col("party_to")).select(F.least("party_from", "party_to").alias("a"), F.greatest("party_from", "party_to").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("event_count"))
 
 
+#: Styles that one row of a person's set holds on average, at most.
+SET_ROWS = 20_000
+
+
 def with_common_styles(pairs: DataFrame, styles: DataFrame) -> DataFrame:
-    """Both directions of each pair, with how many of (person, style_id) the two have in common."""
-    common = pairs.join(styles.withColumnRenamed("person", "a"), "a").join(styles.withColumnRenamed("person", "b"), ["b", "style_id"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("style_count"))
-    both = pairs.join(common, ["a", "b"], "left").withColumn("style_count", F.coalesce("style_count", F.lit(0)))
+    """Both directions of each pair, with how many of (person, style_id) the two have in common.
+
+    A person's styles travel as a set, not as rows, so a pair costs one intersection. Sets are dealt by the style's hash
+    into as many parts as the largest needs, a number that comes from a table of one row. pairs(a, b, event_count).
+    """
+    parts = F.broadcast(styles.groupBy("person").agg(F.count(F.lit(1)).alias("n")).agg(F.greatest(F.ceil(F.max("n") / SET_ROWS), F.lit(1)).alias("parts")))
+    part = F.pmod(F.xxhash64("style_id"), F.col("parts")).alias("part")
+    sets = styles.join(parts, F.lit(True)).groupBy("person", part).agg(F.collect_set("style_id").alias("styles"))
+    of = lambda side: sets.select(F.col("person").alias(side), "part", F.col("styles").alias(f"styles_{side}"))
+    spread = pairs.join(parts, F.lit(True)).select("a", "b", "event_count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = spread.join(of("a"), ["a", "part"], "left").join(of("b"), ["b", "part"], "left")
+    both = met.groupBy("a", "b").agg(F.first("event_count").alias("event_count"), F.sum(F.coalesce(F.array_size(F.array_intersect("styles_a", "styles_b")), F.lit(0))).alias("style_count"))
     return both.select(F.explode(F.array(F.struct(F.col("a").alias("person"), F.col("b").alias("other")), F.struct(F.col("b").alias("person"), F.col("a").alias("other")))).alias("p"), "event_count", "style_count").select("p.*", "event_count", "style_count")
 
 
