@@ -30,7 +30,11 @@ def scored(store: DataFrame, queries: DataFrame, vec: str = "embedding") -> Data
 
 def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", least: float | None = None, where: Column | None = None, but_self: bool = False) -> DataFrame:
     """k nearest by cosine for each query; filters on the store come before any score."""
-    rows = scored(store if where is None else store.where(where), queries, vec)
+    return best(scored(store if where is None else store.where(where), queries, vec), k, id_col, least, but_self)
+
+
+def best(rows: DataFrame, k: int, id_col: str, least: float | None = None, but_self: bool = False) -> DataFrame:
+    """The k rows of the highest score for each query, ties to the smaller id."""
     rows = rows.where(F.col(id_col) != F.col("query_id")) if but_self else rows
     rows = rows if least is None else rows.where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import collection as C
 from ..operators import organization as N
 from ..operators import rollups as A
+from ..operators.embedding import character_counter, encode_in_parts
 from ..sources import readers
 from ..streaming.pointer import shared_folder
 from .asked import query
 from .build import GraphBuild, Inputs
 from .domain import CTE, factories, style_factory
-from .oracles import _SLOTS
+from .oracles import _COS, _SLOTS
 
 #: Companies whose members are customers, in order of precedence.
 SOURCES = ["BUILDING", "MACHINERY"]
@@ -167,3 +169,42 @@ def people_built_in_stages(e, t):
     return built(e, t).nodes("Person").select("person", "event_count", "style_count", "email", "department", "role", "is_from_email")
 
 
+
+
+# collections of vectors
+
+
+def collection(e, t) -> C.VectorCollection:
+    return C.create(t("embeddings"), f"{shared_folder(e.spark)}/vectors")
+
+
+def _asked(t, condition: str):
+    return t("embeddings").where(condition).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _nearest_sql(where: str, k: int) -> str:
+    return f"""SELECT q.vec_id AS query_id, e.vec_id, e.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank, {_COS} AS score
+FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND {where} QUALIFY rank <= {k}"""
+
+
+@query(_nearest_sql("e.label IN (1, 3)", 5))
+def collection_all_cells(e, t):
+    """Five questions to a stored collection with a filter, all its cells probed."""
+    found = collection(e, t).search(_asked(t, "vec_id < 5"), 5, F.col("label").isin(1, 3), probe=C.MOST_CELLS)
+    return found.select("query_id", "vec_id", "label", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query(_nearest_sql("true", 10))
+def collection_exact(e, t):
+    found = collection(e, t).search(_asked(t, "vec_id < 5"), exact=True)
+    return found.select("query_id", "vec_id", "label", F.col("rank").cast("long").alias("rank"), "score")
+
+
+_DIGIT_COUNTS = ", ".join(f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{d}', ''))" for d in range(10))
+
+
+@query(f"SELECT doc_id, concat_ws(',', {_DIGIT_COUNTS}) AS digits FROM documents")
+def documents_encoded(e, t):
+    """Vectors of all documents, a hundred at a time, in parts that a stopped job would go on with."""
+    found = encode_in_parts(e.spark, t("documents"), f"{shared_folder(e.spark)}/encoded", character_counter(), parts=4)
+    return found.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("digits"))
