@@ -53,6 +53,8 @@ SCOPE_KEYWORDS = {
     "大货": ["大货", "生产", "出货", "delivery", "bulk"], "拉链": ["拉链", "zipper", "拉头"], "纽扣": ["纽扣", "扣子", "button"],
 }
 CONTINUATION = ["剩下的", "还有吗", "继续", "然后呢", "接着", "下一页", "更多", "其余的", "未完", "看看剩下的", "还有呢", "接着看", "后面", "剩余"]
+PRONOUNS = ["那款", "这个", "它", "这款", "该款", "此款"]
+GREETINGS = ["你好", "您好", "嗨", "hello", "hi"]
 CONTINUATION_ALONE = ["续", "继", "查", "看"]
 EVENT_FOCUS = {
     "延期": ["延期", "延迟", "晚", "赶不及", "还能.*出货", "为什么.*延期", "根因", "原因"], "样衣": ["样衣", "sample", "打样", "试穿"], "封样": ["封样", "签字样", "sealed", "approval sample"],

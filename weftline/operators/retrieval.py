@@ -20,12 +20,12 @@ def norm(a: str) -> Column:
 
 def scored(store: DataFrame, queries: DataFrame, vec: str = "embedding") -> DataFrame:
     """Every stored row against each query of a bounded table (query_id, query), which is broadcast: more than
-    MOST_QUERIES are an error; tables of queries need an index."""
+    MOST_QUERIES are an error; tables of queries need an index. A vector without a direction has a score of 0."""
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries at once")
     q = F.broadcast(queries.withColumn("qn", norm("query")))
     pairs = store.withColumn("sn", norm(vec)).join(q, F.lit(True))
-    return pairs.withColumn("score", F.round(dot(vec, "query") / (F.col("sn") * F.col("qn")), 6)).drop("query", "qn", "sn")
+    return pairs.withColumn("score", F.round(F.coalesce(F.try_divide(dot(vec, "query"), F.col("sn") * F.col("qn")), F.lit(0.0)), 6)).drop("query", "qn", "sn")
 
 
 def top_k(store: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", least: float | None = None, where: Column | None = None, but_self: bool = False) -> DataFrame:

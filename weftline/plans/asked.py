@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import retrieval as V
 from ..operators import terms as T
 from .domain import CTE, table
-from .engine import Engine, executable
+from .engine import Engine
 from .oracles import _COLLAB, _OWNERS, _PEOPLE, _SLOTS, EVT
 from .queries import NOW_TS, PERSON, STYLE
 
@@ -123,20 +123,6 @@ def call_chain(e, t):
     return e.execute([("factory_styles", {"factory_name": PERSON}), ("style_summaries", {})])[0]
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS style_id, CAST(NULL AS VARCHAR) AS last_update, CAST(NULL AS BIGINT) AS total_delay_days, CAST(NULL AS VARCHAR) AS latest_category WHERE false")
-def call_that_does_not_fit(e, t):
-    return e.call("factory_styles", no_such_parameter=1)
-
-
-@query("SELECT * FROM (VALUES ('chain', 'success'), ('nobody', 'failed'), ('two alone', 'success')) v(question, status)")
-def executable_questions(e, t):
-    return executable(e, [
-        ("chain", [("factory_styles", {"factory_name": PERSON}), ("timeline", {})]),
-        ("nobody", [("person_styles", {"person_name": "nobody"})]),
-        ("two alone", [("factory_delays", {}), ("collaborators", {"person_name": PERSON})]),
-    ])
-
-
 # small operators
 
 

@@ -8,11 +8,15 @@ from ..operators import collection as C
 from ..operators import organization as N
 from ..operators import rollups as A
 from ..operators.embedding import character_counter, encode_in_parts
+from ..functions import lexicon as L
 from ..sources import readers
+from ..streaming import graph_state as S
+from ..streaming import sessions as R
 from ..streaming.pointer import shared_folder
 from .asked import query
 from .build import GraphBuild, Inputs
 from .domain import CTE, factories, style_factory
+from .validation import EMPTY, FILLED, NO_CALL, validate
 from .oracles import _COS, _SLOTS
 
 #: Companies whose members are customers, in order of precedence.
@@ -208,3 +212,129 @@ def documents_encoded(e, t):
     """Vectors of all documents, a hundred at a time, in parts that a stopped job would go on with."""
     found = encode_in_parts(e.spark, t("documents"), f"{shared_folder(e.spark)}/encoded", character_counter(), parts=4)
     return found.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("digits"))
+
+
+# sessions
+
+_FOCUS = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)({'|'.join(ps)})') THEN '{k}'" for k, ps in L.EVENT_FOCUS.items()) + " END"
+_SAYS = lambda column, words: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+_SESSIONS = rf"""WITH c AS (
+  SELECT CAST(conv_id AS VARCHAR) AS session, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'CCSS' || (10000 + conv_id) || ' ' || text WHEN 1 THEN '那款 ' || text WHEN 2 THEN '继续 ' || text WHEN 3 THEN text || ' 它延期' ELSE text END AS text FROM conversations
+), f AS (
+  SELECT session, turn, coalesce(nullif(regexp_extract(upper(text), '\bCCSS\d{{5,6}}[A-Z]?\b'), ''), nullif(regexp_extract(text, '\b\d{{7}}\b'), '')) AS own, {_SAYS("text", L.PRONOUNS)} AS refers, {_SAYS("lower(text)", L.CONTINUATION)} AS goes_on,
+    {_SAYS("lower(text)", L.GREETINGS)} AS greets, {_FOCUS} AS focus FROM c
+), b AS (
+  SELECT *, last_value(CASE WHEN NOT goes_on THEN own END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f
+), s AS (SELECT *, coalesce(own, CASE WHEN refers THEN before END) AS style FROM b)
+SELECT session, turn, CASE WHEN goes_on THEN 'continuation' WHEN style IS NOT NULL THEN 'route_v1' WHEN greets THEN 'direct_answer' ELSE 'route_v2' END AS decision,
+  CASE WHEN goes_on THEN 'continuation' WHEN style IS NOT NULL AND focus = '延期' THEN 'style_delay' WHEN style IS NOT NULL THEN 'style_timeline' WHEN greets THEN 'general_chat' ELSE 'unknown' END AS intent,
+  CASE WHEN goes_on THEN before ELSE style END AS style_id, CASE WHEN NOT goes_on THEN focus END AS event_focus FROM s"""
+
+
+def turns(t):
+    """Conversations some of whose turns name a style, refer to one, ask for more or for delays."""
+    k, text = (F.col("conv_id") + F.col("turn")) % 5, F.col("text")
+    named = F.concat(F.lit("CCSS"), (F.col("conv_id") + 10000).cast("string"), F.lit(" "), text)
+    said = F.when(k == 0, named).when(k == 1, F.concat(F.lit("那款 "), text)).when(k == 2, F.concat(F.lit("继续 "), text)).when(k == 3, F.concat(text, F.lit(" 它延期"))).otherwise(text)
+    return t("conversations").select(F.col("conv_id").alias("session"), "turn", said.alias("text"))
+
+
+@query(_SESSIONS)
+def sessions_routed(e, t):
+    """Every turn's routing, with the style that its session last named."""
+    return R.route_sessions(turns(t), block=3)
+
+
+@query(_SESSIONS)
+def sessions_routed_on_a_stream(e, t):
+    """The same from a stream of two files, each session's state carried from the first to the second."""
+    at = shared_folder(e.spark)
+    for half in (True, False):
+        turns(t).where((F.col("turn") < 3) == half).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    source = e.spark.readStream.schema(turns(t).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    R.stream_sessions(e.spark, source, at).awaitTermination()
+    return e.spark.read.parquet(f"{at}/out")
+
+
+# state
+
+
+_SENT = """SELECT CAST(l_orderkey % 3 AS BIGINT) AS batch, CASE WHEN l_orderkey % 41 = 0 THEN 'no mail' WHEN l_orderkey % 37 = 0 THEN 'no category' WHEN l_orderkey % 43 = 0 THEN 'date' WHEN l_orderkey % 31 = 0 THEN 'no style' END AS reason FROM lineitem"""
+
+
+@query(f"SELECT batch, coalesce(reason, 'applied') AS outcome, count(*) AS n FROM ({_SENT}) GROUP BY 1, 2")
+def batches_with_quarantine(e, t):
+    """What became of the events of three batches, some of which cannot be applied: all are there, once."""
+    k = F.col("order_id")
+    sent = e.events.withColumns({
+        "category": F.when(k % 37 == 0, "").otherwise(F.col("category")), "date": F.when(k % 43 == 0, "2024-02-30").otherwise(F.col("date")), "style_id": F.when(k % 31 != 0, F.col("style_id")),
+        "sent": (k % 3).cast("long"), "order_id": F.when(k % 41 != 0, k),
+    })
+    state = S.GraphState(e.spark, shared_folder(e.spark), fan=2)
+    for n in range(3):
+        state.apply(sent.where(F.col("sent") == n), n)
+    applied = state.table("events").select(F.col("sent").alias("batch"), F.lit("applied").alias("outcome"))
+    return applied.unionByName(state.table("quarantine").select("batch", F.col("reason").alias("outcome"))).groupBy("batch", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# questions, all at once
+
+
+def _call(kind: str, **params):
+    return F.to_json(F.struct(F.lit(kind).alias("type"), *[v.alias(k) for k, v in params.items()]))
+
+
+def questions(t):
+    """(question, calls) from suppliers, customers, parts and orders: single calls, chains, two that stand alone, none, and
+    calls that no interface fits."""
+    s, c, p, o = t("supplier"), t("customer"), t("part"), t("orders")
+    k, f = F.col("s_suppkey"), F.col("s_name")
+    made = lambda df, name, key, *calls: df.select(F.concat(F.lit(name), key.cast("string")).alias("question"), F.array(*calls).cast("array<string>").alias("calls"))
+    wanted = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("NO"), F.lit("RF"), F.lit("AF"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("RF"), F.lit("XX")))
+    limit = F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") * 60)
+    style = F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") + 10**9).otherwise(F.col("p_partkey"))
+    day = F.date_format(F.date_add(F.to_date("o_orderdate"), 400), "yyyy-MM-dd")
+    search = _call("semantic_search_by_conditions", query=F.lit("q"), categories=F.array(F.lit("RF")), min_delay_days=(k % 150), start=F.lit("1997-06-01"), end=F.concat(F.lit("1997-06-"), F.lpad((k % 30 + 1).cast("string"), 2, "0")))
+    parts = [
+        made(s, "factory ", k, _call("factory_styles", factory_name=F.when(k % 5 == 0, F.concat(f, F.lit("x"))).otherwise(f))),
+        made(s, "factory timeline ", k, _call("factory_styles", factory_name=f), _call("timeline")),
+        made(s, "factory search ", k, _call("factory_styles", factory_name=f), search),
+        made(s, "unfit ", k, F.when(k % 3 == 0, _call("no_such_interface")).when(k % 3 == 1, _call("factory_styles", no_such_parameter=F.lit(1))).otherwise(_call("person_styles")), _call("factory_delays")),
+        made(s, "nothing ", k),
+        made(c, "person ", F.col("c_custkey"), _call("person_styles", person_name=F.col("c_name"))),
+        made(c, "two ", F.col("c_custkey"), _call("collaborators", person_name=F.col("c_name")), _call("factory_delays")),
+        made(p, "overview ", F.col("p_partkey"), _call("style_overview", style_id=style)),
+        made(p, "conditions ", F.col("p_partkey"), _call("find_styles_with_conditions", categories=wanted, min_delay_days=limit)),
+        made(o, "search ", F.col("o_orderkey"), _call("semantic_search_by_conditions", query=F.lit("q"), event_types=F.array(F.col("o_orderpriority")), min_delay_days=F.lit(90), start=day, end=day)),
+    ]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+_JUDGED = f"""{CTE}{_SLOTS}, person AS (SELECT person FROM slots UNION SELECT s_name FROM sf JOIN supplier ON s_suppkey = factory_id), kinds AS (SELECT style_id, list(DISTINCT category) AS has FROM ev GROUP BY 1
+), free AS (SELECT max(total_delay_days) FILTER (list_has_all(has, ['NO', 'RF', 'AF'])) AS d0, max(total_delay_days) FILTER (list_has_all(has, ['RF', 'XX'])) AS d1, max(total_delay_days) AS d2 FROM styles JOIN kinds USING (style_id)
+), j AS (
+  SELECT 'factory ' || s_suppkey AS question, s_suppkey % 5 <> 0 AND s_suppkey IN (SELECT factory_id FROM sf) AS ok FROM supplier
+  UNION ALL SELECT 'factory timeline ' || s_suppkey, s_suppkey IN (SELECT factory_id FROM sf) FROM supplier
+  UNION ALL SELECT 'factory search ' || s_suppkey, EXISTS (SELECT 1 FROM ev JOIN sf ON sf.style_id = ev.style_id WHERE sf.factory_id = s_suppkey AND category = 'RF' AND delay_days >= s_suppkey % 150 AND date BETWEEN '1997-06-01' AND '1997-06-' || lpad(CAST(s_suppkey % 30 + 1 AS VARCHAR), 2, '0')) FROM supplier
+  UNION ALL SELECT 'unfit ' || s_suppkey, false FROM supplier UNION ALL SELECT 'nothing ' || s_suppkey, NULL FROM supplier
+  UNION ALL SELECT 'person ' || c_custkey, c_name IN (SELECT person FROM person) FROM customer
+  UNION ALL SELECT 'two ' || c_custkey, c_name IN (SELECT party_from FROM ev WHERE party_from <> party_to UNION SELECT party_to FROM ev WHERE party_from <> party_to) FROM customer
+  UNION ALL SELECT 'overview ' || p_partkey, p_partkey % 7 <> 0 AND p_partkey IN (SELECT style_id FROM styles) FROM part
+  UNION ALL SELECT 'conditions ' || p_partkey, coalesce(CASE p_partkey % 3 WHEN 0 THEN d0 WHEN 1 THEN d1 ELSE d2 END >= CASE WHEN p_partkey % 4 <> 0 THEN p_size * 60 ELSE -1000000000 END, false) FROM part, free
+  UNION ALL SELECT 'search ' || o_orderkey, strftime(CAST(o_orderdate AS DATE) + 400, '%Y-%m-%d') || o_orderpriority IN (SELECT date || event_type FROM ev WHERE delay_days >= 90) FROM orders
+)"""
+
+
+@query(f"{_JUDGED} SELECT question, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, CASE WHEN ok IS NULL THEN '{NO_CALL}' WHEN ok THEN '{FILLED}' ELSE '{EMPTY}' END AS result FROM j")
+def executable_questions(e, t):
+    """All questions by whether they can be answered, a join an interface."""
+    return validate(e, questions(t))
+
+
+@query(f"SELECT 'unfit ' || s_suppkey AS question, 'failed' AS status, '{EMPTY}' AS result FROM supplier")
+def call_that_does_not_fit(e, t):
+    """Questions with a call of no interface, with a parameter that it does not take, or without one that it needs."""
+    return validate(e, questions(t).where(F.col("question").startswith("unfit")))

@@ -212,15 +212,3 @@ class Engine:
         elif strategy == "kg_relational":
             answer.parts["people"] = self.call("collaborators", person_name=person_name or "", top_k=top_k)
         return answer
-
-
-def executable(engine: Engine, questions: list[tuple[str, list[tuple[str, dict]]]]) -> DataFrame:
-    """(question, status): success if each of its calls has rows. One probe a call, of a row."""
-    told = []
-    for question, calls in questions:
-        try:
-            ok = all(not rows.isEmpty() for rows in engine.execute(calls))
-        except ValueError:
-            ok = False
-        told.append((question, "success" if ok else "failed"))
-    return engine.spark.createDataFrame(told, "question string, status string")
