@@ -22,7 +22,7 @@ from ..operators import terms as T
 from ..streaming import graph_state as S
 from ..streaming.pointer import shared_folder
 from . import planner as R
-from .domain import CTE, SEQ, events, factories, style_factory, table
+from .domain import BOUND, CTE, SEQ, bounded, events, factories, style_factory, table
 from .oracles import _COS, _OWNERS, _PEOPLE, _SLOTS, _any, _key
 from .queries import EV_SEQ, NOW, PERSON, STYLE, owners, styles_of
 
@@ -267,15 +267,17 @@ def dates_in_text(t, ev, spark, sf):
 _STOP = ", ".join(f"'{w}'" for w in L.TERM_STOPWORDS)
 
 
-@query(r"WITH d AS (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '\b([a-zA-Z][a-zA-Z\-]{2,20})\b', 1)), lambda w: w NOT IN (" + _STOP + "))) AS BIGINT) AS terms FROM d")
-def candidate_terms(t, ev, spark, sf):
-    plain = t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", F.size(X.potential_terms(F.col("text"))).cast("long").alias("terms"))
+_TERMS = f"""WITH m AS (SELECT doc_id, list_distinct(list_concat(regexp_extract_all(text, '([一-龥]{{2,10}})', 1),
+  list_transform(regexp_extract_all({bounded('text')}, '{BOUND}([a-zA-Z](?:{BOUND}?[a-zA-Z\\-]){{2,20}}){BOUND}', 1), lambda w: replace(w, '{BOUND}', '')))) AS found FROM documents
+), x AS (SELECT doc_id, list_filter(found, lambda w: w NOT IN ({_STOP})) AS terms FROM m)"""
 
 
-@query()
+ORACLE_SQL["term_frequency_all"] = f"{_TERMS} SELECT term, count(*) AS docs FROM (SELECT unnest(terms) AS term FROM x) GROUP BY 1 ORDER BY docs DESC, term LIMIT 20"
+
+
+@query(f"{_TERMS} SELECT doc_id, CAST(len(terms) AS BIGINT) AS terms FROM x")
 def candidate_terms_all(t, ev, spark, sf):
-    """candidate_terms over all documents, Han terms too; DuckDB's word boundaries are ASCII, so no SQL."""
+    """How many candidate terms each document has, Han ones too."""
     return t("documents").select("doc_id", F.size(X.potential_terms(F.col("text"))).cast("long").alias("terms"))
 
 
@@ -284,11 +286,6 @@ def conversation_titles(t, ev, spark, sf):
     return t("conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first")).select("conv_id", X.title_of(F.col("first")).alias("title"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') = text AS clean FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def control_characters(t, ev, spark, sf):
-    return t("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", (X.strip_controls(F.col("text")) == F.col("text")).alias("clean"))
-
-
 @query("SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]', '', 'g') = text AS clean FROM documents")
 def control_characters_all(t, ev, spark, sf):
     return t("documents").select("doc_id", (X.strip_controls(F.col("text")) == F.col("text")).alias("clean"))
@@ -379,13 +376,14 @@ def morning_pushes(t, ev, spark, sf):
 
 
 def _manifest_status(text: Column, source: Column) -> Column:
+    """The first line is the subject; a null text is an empty one."""
     kept = X.gate_status(F.length(text), X.has_business_keyword(text), source == "src0")
-    return F.when(X.blacklisted(F.substring(text, 1, 60), F.lit("a@b")).isNotNull(), "blacklisted").otherwise(kept)
+    return F.when(X.blacklisted(F.substring_index(text, "\n", 1), F.lit("a@b")).isNotNull(), "blacklisted").otherwise(kept)
 
 
-@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(substr(text, 1, 60), '(?i){p}')" for p in L.SUBJECT_BLACKLIST) + " THEN 'blacklisted' WHEN " + _any("lower(substr(text, 1, 300))", [w.lower() for w in L.BUSINESS_KEYWORDS]) + " THEN CASE WHEN length(text) < 50 THEN 'too_short' ELSE 'passed' END WHEN length(text) < CASE WHEN source = 'src0' THEN 300 ELSE 200 END THEN 'too_short' ELSE 'passed' END AS status FROM documents WHERE text IS NOT NULL")
+@query("WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(split_part(text, chr(10), 1), '(?i){p}')" for p in L.SUBJECT_BLACKLIST) + " THEN 'blacklisted' WHEN " + _any("lower(substr(text, 1, 300))", [w.lower() for w in L.BUSINESS_KEYWORDS]) + " THEN CASE WHEN length(text) < 50 THEN 'too_short' ELSE 'passed' END WHEN length(text) < CASE WHEN source = 'src0' THEN 300 ELSE 200 END THEN 'too_short' ELSE 'passed' END AS status FROM d")
 def mail_manifest(t, ev, spark, sf):
-    return t("documents").where("text IS NOT NULL").select("doc_id", _manifest_status(F.col("text"), F.col("source")).alias("status"))
+    return t("documents").select("doc_id", _manifest_status(F.coalesce("text", F.lit("")), F.col("source")).alias("status"))
 
 
 @query(f"{CTE} SELECT style_id, delay_days, CASE WHEN delay_days > 0 THEN '延期' || delay_days || '天' WHEN delay_days < 0 THEN '提前' || -delay_days || '天' ELSE '正常' END AS said FROM ev")

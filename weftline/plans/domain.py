@@ -76,3 +76,14 @@ WITH ev AS (
     first(category ORDER BY date DESC, order_id, line, factory_id) AS latest_category, CAST(count(DISTINCT order_id) AS BIGINT) AS order_count
   FROM ev GROUP BY style_id
 )"""
+
+
+#: A mark that texts do not hold, put where a word begins or ends: DuckDB's own word boundaries are ASCII.
+BOUND = "\ue000"
+_WORD, _OTHER = r"[\p{L}\p{M}\p{Nd}\p{Pc}]", r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+
+
+def bounded(text: str) -> str:
+    """SQL for a text with a mark at each word boundary."""
+    ended = f"regexp_replace(' ' || {text} || ' ', '({_WORD})({_OTHER})', '\\1{BOUND}\\2', 'g')"
+    return f"regexp_replace({ended}, '({_OTHER})({_WORD})', '\\1{BOUND}\\2', 'g')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicon as L
 from ..functions.text import PHONE, SPACE
-from .domain import CTE
+from .domain import BOUND, CTE, bounded
 from .queries import NOW, NOW_TS, PERSON, STYLE
 
 SEQ = "order_id, line, style_id, factory_id"
@@ -135,16 +135,15 @@ SELECT *, round_even(total_delay_days / greatest(delay_event_count, 1), 2) AS av
     "chunk_rounds": f"{CTE} SELECT {SEQ}, (row_number() OVER (PARTITION BY style_id ORDER BY date, order_id, line, factory_id) - 1) // 10 + 1 AS round, CAST(ceil(count(*) OVER (PARTITION BY style_id) / 10) AS BIGINT) AS total_rounds FROM ev",
     "most_common_stages": f"{CTE} SELECT event_type, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, min(order_id) LIMIT 3",
     "pii_masked_documents": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS masked_md5 FROM documents",
-    "id_extraction": r"""WITH d AS (SELECT doc_id, text, upper(text) AS u FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[0-9]{7}\b'), list_concat(regexp_extract_all(text, '\b[0-9]{8}\b'), regexp_extract_all(text, '\b[0-9]{9}\b'))))), ',') AS order_ids,
-  array_to_string(list_sort(list_distinct(flatten([regexp_extract_all(u, '\bCCSS\d{5,6}[A-Z]?\b'), regexp_extract_all(u, '\bINDO[A-Z]\d{3,6}\b'), regexp_extract_all(u, '\bAW\d{2}-[A-Z]+\d+\b'), regexp_extract_all(u, '\bAW\d{2}[A-Z]+\d+\b'), regexp_extract_all(u, '\bSS\d{2}[A-Z]+\d+\b'), regexp_extract_all(u, '\bCCAW\d{5,6}\b'), regexp_extract_all(u, '\bCDIB\d+\b'), regexp_extract_all(u, '\b\d{7}\b')]))), ',') AS style_ids FROM d""",
+    "id_extraction_all": f"""WITH m AS (SELECT doc_id, {bounded('text')} AS t, {bounded('upper(text)')} AS u FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(t, '{BOUND}([0-9]{{6}}){BOUND}', 1), lambda x: NOT (CAST(substr(x, 1, 2) AS INTEGER) <= 12 AND CAST(substr(x, 3, 2) AS INTEGER) <= 31)), regexp_extract_all(t, '{BOUND}([0-9]{{7,9}}){BOUND}', 1)))), ',') AS order_ids,
+  array_to_string(list_sort(list_distinct(flatten([{", ".join(f"regexp_extract_all(u, '{BOUND}({p[2:-2].replace('}-[', '}' + BOUND + '-' + BOUND + '[')}){BOUND}', 1)" for p in L.STYLE_PATTERNS)}]))), ',') AS style_ids FROM m""",
     "html_to_text": f"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>[^<]*</script>|<style[^>]*>[^<]*</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[{SPACE}]+', ' ', 'g'))) AS text_md5 FROM pages",
     "token_estimate": f"SELECT conv_id, CAST(sum({_MESSAGE}) AS BIGINT) AS tokens FROM conversations GROUP BY 1",
     "context_overflow": f"WITH u AS (SELECT conv_id, sum({_MESSAGE}) AS tokens FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN tokens >= 400 THEN 'overflow' WHEN tokens >= 320 THEN 'warning' ELSE 'ok' END AS status FROM u",
     "category_classifier": _classifier(),
     "router_strategy": _router(),
     "business_gate": f"SELECT doc_id, CASE WHEN {_any('lower(substr(text, 1, 300))', ['sample', 'fabric', 'delivery'])} THEN CASE WHEN length(text) < 50 THEN 'too_short' ELSE 'passed' END WHEN length(text) < CASE WHEN source = 'src0' THEN 300 ELSE 200 END THEN 'too_short' ELSE 'passed' END AS status FROM documents",
-    "term_extraction_frequency": "WITH x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,21}'))) AS term FROM documents WHERE lang = 'en') SELECT term, count(*) AS docs FROM x GROUP BY 1 ORDER BY docs DESC, term LIMIT 20",
     "knn_topk": f"SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 QUALIFY rank <= 10",
     "knn_filtered": f"SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND e.label IN (1, 3) ORDER BY score DESC, e.vec_id LIMIT 5",
     "two_stage_retrieval": f"WITH k AS (SELECT e.vec_id, e.label, q.label AS ql, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 ORDER BY score DESC, e.vec_id LIMIT 20) SELECT vec_id, label, score FROM k WHERE label = ql OR score > 0.75",

@@ -313,15 +313,9 @@ def pii_masked_documents(t, ev, spark, sf):
     return t("documents").select("doc_id", F.md5(X.mask_pii(F.col("text")).cast("binary")).alias("masked_md5"))
 
 
-@query
-def id_extraction(t, ev, spark, sf):
-    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    return t("documents").where(ascii_only).select("doc_id", F.array_join(F.filter(X.order_ids(F.col("text")), lambda x: F.length(x) > 6), ",").alias("order_ids"), F.array_join(X.style_ids(F.col("text")), ",").alias("style_ids"))
-
-
 @query
 def id_extraction_all(t, ev, spark, sf):
-    """id_extraction over all documents, with the order ids of 6 digits; DuckDB's word boundaries are ASCII, so no SQL."""
+    """Order ids and style ids in the texts of all documents."""
     return t("documents").select("doc_id", F.array_join(X.order_ids(F.col("text")), ",").alias("order_ids"), F.array_join(X.style_ids(F.col("text")), ",").alias("style_ids"))
 
 
@@ -368,15 +362,9 @@ def business_gate(t, ev, spark, sf):
     return t("documents").select("doc_id", X.gate_status(F.length("text"), protected, F.col("source") == "src0").alias("status"))
 
 
-@query
-def term_extraction_frequency(t, ev, spark, sf):
-    terms = t("documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,21})"), F.lit(1)))).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.col("docs").desc(), "term").limit(20)
-
-
 @query
 def term_frequency_all(t, ev, spark, sf):
-    """Candidate terms, Han ones too, by the number of documents of any language that have them; no SQL, as for id_extraction_all."""
+    """Candidate terms, Han ones too, by the number of documents of any language that have them."""
     terms = t("documents").select(F.explode(F.array_distinct(X.potential_terms(F.col("text")))).alias("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.col("docs").desc(), "term").limit(20)
 
