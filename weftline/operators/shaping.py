@@ -83,9 +83,20 @@ def max_items(item_tokens: int, remaining: int, least: int = 1, reserve: int = 1
     return max(least, (remaining - reserve) // item_tokens)
 
 
-def shrink_to_budget(item_tokens: int, budget: int, have: int, ladder: tuple[int, ...] = (200, 150, 100, 80, 60, 50, 40, 30, 20, 10)) -> int:
-    """The first step of the ladder whose items stay under 95 % of the budget."""
-    return next((min(n, have) for n in ladder if min(n, have) * item_tokens < 0.95 * budget), ladder[-1])
+#: Numbers of rows that a result is cut to in turn until it fits its budget.
+LADDER = (200, 150, 100, 50, 30, 20, 10)
+
+
+def shrink_to_budget(rows: DataFrame, group: str, order: list, tokens: Column, available: Column | int, ladder: tuple[int, ...] = LADDER) -> DataFrame:
+    """Each group's first rows, as many as the first step of the ladder whose rows have at most `available` tokens; a group
+    whose last step is over it keeps none. step is the number of rows that the group was cut to."""
+    w = Window.partitionBy(group).orderBy(*order)
+    ranked = rows.withColumn("__rank", F.row_number().over(w)).withColumn("__sum", F.sum(tokens).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    limit = F.lit(available) if isinstance(available, int) else available
+    held = [F.max(F.when(F.col("__rank") <= n, F.col("__sum"))) <= F.max(limit) for n in sorted(ladder, reverse=True)]
+    step = F.coalesce(*[F.when(ok, n) for ok, n in zip(held, sorted(ladder, reverse=True), strict=True)])
+    steps = ranked.groupBy(group).agg(step.cast("long").alias("step")).where("step IS NOT NULL")
+    return ranked.join(steps, group).where(F.col("__rank") <= F.col("step")).drop("__rank", "__sum")
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:

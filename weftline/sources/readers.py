@@ -49,7 +49,12 @@ def parse_mail(content: bytes) -> dict:
 
 def read_mails(spark: SparkSession, folder: str, head_bytes: int | None = None) -> DataFrame:
     """A row a mail file, in order of path; head_bytes parses just that much of each. Parsing errors are in `error`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder).select("path", F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes).alias("content"))
+    return parse_mails(spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder), head_bytes)
+
+
+def parse_mails(files: DataFrame, head_bytes: int | None = None) -> DataFrame:
+    """read_mails() of files(path, content), wherever they come from."""
+    files = files.select("path", F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes).alias("content"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -71,8 +76,14 @@ def find_file(files: DataFrame, name: str) -> DataFrame:
     return files.where(base.startswith(name)).orderBy((base != name), base).limit(1)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENT_SCHEMA).option("multiLine", True).json(path)
+def read_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Events of one JSON array, or of files of an event a line."""
+    return spark.read.schema(EVENT_SCHEMA).option("multiLine", not lines).json(path)
+
+
+def with_defaults(events: DataFrame) -> DataFrame:
+    """Events with what is missing filled in: texts with the empty one, confidence with 0."""
+    return events.fillna("", [f.name for f in events.schema if f.dataType.typeName() == "string"]).fillna(0.0, ["confidence"])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

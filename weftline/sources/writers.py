@@ -25,3 +25,9 @@ def write_vectors(rows: DataFrame, path: str) -> None:
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def write_evaluation(summary: DataFrame, details: DataFrame, path: str) -> None:
+    """The figures of an evaluation as one JSON file a summary of a few rows, and its cases as JSON lines."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    details.write.mode("overwrite").json(f"{path}/details")
