@@ -26,6 +26,8 @@ from .vocabulary import id_type, slices, stream_encoder
 LEAST, MEAN, MOST, SPAN = 64, 256, 2048, 16
 HASH = 16
 _ENTRY = np.dtype([("hash", f"V{HASH}"), ("n", "<u4")])
+#: Bytes of text that a task encodes and cuts at once; arrays over their ids take some twelve times as much.
+TEXT_BYTES = 3 << 20
 #: Chunks that a task remembers, to send each on once: a passage that a third of all documents share is a row a task.
 SEEN = 500_000
 #: Documents of a segment, where there are more than the session's partitions.
@@ -81,7 +83,7 @@ def _stage(vocabulary: str, end_id: int | None):
         for batch in batches:
             texts, ids_of = batch.column(1), batch.column(0).to_pylist()
             sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-            for a, b in slices(sizes, 8 << 20):
+            for a, b in slices(sizes, TEXT_BYTES):
                 ids, ends = encoder.encode(texts.slice(a, b - a))
                 if end_id is not None:
                     ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
