@@ -211,23 +211,21 @@ def html_tables(c: Column) -> Column:
 
 
 def remove_noise(c: Column) -> Column:
-    """Forwarded headers and signatures dropped, line by line, in one fold over the lines.
+    """Forwarded headers and signatures dropped, line by line.
 
     A forward marker opens a header part, which the next line that is not `word:` closes; a signature marker opens a
-    signature, which a blank line closes.
+    signature, which a blank line closes, itself dropped. Every line is told by a letter, forward marker first: F, S, B
+    (blank), H (`word:`) or X; on the text of these letters the parts are two patterns, whatever lines say.
     """
     mark = lambda ps: "(?iU)" + "|".join(ps)
-    start = F.struct(F.lit(False).alias("sig"), F.lit(False).alias("fwd"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, line: Column) -> Column:
-        fwd, sig, blank = line.rlike(mark(L.FORWARD_MARKERS)), line.rlike(mark(L.SIGNATURE_MARKERS)), strip(line) == ""
-        closes = a["fwd"] & ~blank & ~line.rlike(r"(?U)^\s*\w+[:\s]")
-        in_fwd = F.when(fwd, True).when(sig | (a["sig"] & blank), a["fwd"]).otherwise(a["fwd"] & ~closes)
-        in_sig = F.when(fwd, a["sig"]).when(sig, True).when(a["sig"] & blank, False).otherwise(a["sig"])
-        drop = fwd | sig | (a["sig"] & blank) | in_fwd | in_sig
-        return F.struct(in_sig.alias("sig"), in_fwd.alias("fwd"), F.when(drop, a["out"]).otherwise(F.array_append(a["out"], line)).alias("out"))
-
-    kept = F.array_join(F.aggregate(F.split(c, "\n"), start, step, lambda a: a["out"]), "\n")
+    letter = lambda x: F.when(x.rlike(mark(L.FORWARD_MARKERS)), "F").when(x.rlike(mark(L.SIGNATURE_MARKERS)), "S").when(strip(x) == "", "B").when(x.rlike(r"(?U)^\s*\w+[:\s]"), "H").otherwise("X")
+    lines = F.split(c, "\n")
+    letters = F.array_join(F.transform(lines, letter), "")
+    forwarded = F.regexp_replace(letters, r"F|\G(?<!^)[^X]", "-")
+    signed = F.regexp_replace(letters, r"S|\G(?<!^)(?<!B).", "-")
+    shown = F.zip_with(F.split(forwarded, ""), F.split(signed, ""), lambda x, y: (x != "-") & (y != "-"))
+    told = F.filter(F.arrays_zip(lines.alias("line"), shown.alias("shown")), lambda x: x["shown"])
+    kept = F.array_join(F.transform(told, lambda x: x["line"]), "\n")
     kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, r"(?i)\[IMAGE\d+\]", ""), r"\n{3,}", "\n\n"), r"[ \t]+", " ")
     return strip(kept)
 

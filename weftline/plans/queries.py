@@ -329,11 +329,6 @@ def html_tables(t, ev, spark, sf):
     return t("pages").select("page_id", F.size(X.html_tables(F.col("html"))).cast("long").alias("tables"))
 
 
-@query
-def noise_removed_text(t, ev, spark, sf):
-    return t("conversations").select("conv_id", "turn", X.remove_noise(F.col("text")).alias("clean"))
-
-
 @query
 def token_estimate(t, ev, spark, sf):
     return t("conversations").groupBy("conv_id").agg(F.sum(X.message_tokens(F.col("role"), F.col("text"))).alias("tokens"))

@@ -13,6 +13,7 @@ from ..streaming.pointer import shared_folder
 from .asked import query
 from .domain import BOUND, CTE, bounded
 
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, 'Doc ' || doc_id || ' of ' || source AS subject, source || '@x' AS sender, 'day ' || doc_id AS date, CASE WHEN doc_id % 3 <> 0 THEN md5(text) ELSE md5('') END AS plain_md5, CASE WHEN doc_id % 3 = 0 THEN md5('<p>' || text || '</p>') ELSE md5('') END AS html_md5 FROM documents")
 def mails_parsed(e, t):
     """Mails made of all documents, plain ones and HTML, one in five with an encoded subject, parsed."""
@@ -119,3 +120,35 @@ def evaluation_written(e, t):
     writers.write_evaluation(t("labels").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good")), t("labels"), at)
     summary = e.spark.read.schema("n long, good long").json(f"{at}/summary")
     return e.spark.read.schema("doc_id long, quality int, toxic int").json(f"{at}/details").join(F.broadcast(summary), F.lit(True))
+
+
+#: What is put after the sentences of every second, third ... conversation turn: signatures, headers, blanks, in any order.
+_PUT = ["\nBest regards,\nBob\nTel: 1\n\nback to it\n", "\n发件人: a\nTo: b\nword: x\nbody [image12]\n--\nsig\t  ture\n", "\n--\nFrom: me\nnot a header\n\nOriginal\n", "\n\n\n\nSent: now\n\nCc: x\nthanks\nThanks,\n"]
+_PUT_SQL = "[" + ", ".join(f"E{x!r}" for x in _PUT) + "]"
+_ANY = lambda ps: "(?i)" + "|".join(ps)
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, string_split(replace(text, '. ', {_PUT_SQL}[turn % 4 + 1]), chr(10)) AS lines FROM conversations
+), l AS (SELECT conv_id, turn, unnest(lines) AS line, unnest(range(len(lines))) AS n FROM c
+), k AS (
+  SELECT *, CASE WHEN regexp_matches(line, '{_ANY(L.FORWARD_MARKERS)}') THEN 'F' WHEN regexp_matches(line, '{_ANY(L.SIGNATURE_MARKERS)}') THEN 'S' WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 'B' WHEN regexp_matches(line, '^\s*[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+[:\s]') THEN 'H' ELSE 'X' END AS kind FROM l
+), o AS (
+  SELECT *, max(CASE WHEN kind = 'F' THEN n ELSE -1 END) OVER w AS f, max(CASE WHEN kind = 'X' THEN n ELSE -1 END) OVER w AS x, max(CASE WHEN kind = 'S' THEN n ELSE -1 END) OVER p AS s, max(CASE WHEN kind = 'B' THEN n ELSE -1 END) OVER p AS b
+  FROM k WINDOW w AS (PARTITION BY conv_id, turn ORDER BY n), p AS (PARTITION BY conv_id, turn ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (SELECT conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT coalesce(f > x, false) AND kind <> 'S' AND NOT coalesce(s > b, false)), '') AS kept FROM o GROUP BY 1, 2)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(kept, '(?i)\[IMAGE\d+\]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS clean FROM t""")
+def noise_removed_text(e, t):
+    """Conversation turns with signatures and forwarded headers between their sentences, freed of them."""
+    put = F.get(F.array(*map(F.lit, _PUT)), (F.col("turn") % 4).cast("int"))
+    return t("conversations").select("conv_id", "turn", X.remove_noise(F.replace("text", F.lit(". "), put)).alias("clean"))
+
+
+_HTML_TABLES = r"""WITH cells AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1), lambda tb: list_filter(list_transform(regexp_extract_all(tb, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: list_filter(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), lambda c: c <> '')), lambda r: len(r) > 0)), lambda tb: len(tb) >= 2) AS ts FROM pages)"""
+
+
+@query(rf"{_HTML_TABLES} SELECT 'Page ' || page_id AS subject, 'p' || page_id || '@x' AS sender, 'day' AS date, CAST(len(ts) AS BIGINT) AS tables, CAST(len(list_filter(ts, lambda tb: contains(lower(array_to_string(list_transform(tb, lambda r: array_to_string(r, ' ')), ' ')), '1'))) AS BIGINT) AS with_keyword FROM cells")
+def mail_details(e, t):
+    """Headers of mails made of all pages, their tables, and those of them that have a keyword."""
+    mail = F.concat(F.lit("Subject: Page "), "page_id", F.lit("\nFrom: p"), "page_id", F.lit("@x\nDate: day\nContent-Type: text/html; charset=utf-8\n\n"), "html")
+    found = readers.mail_details(readers.parse_mails(t("pages").select(F.col("page_id").cast("string").alias("path"), mail.cast("binary").alias("content"))), "1")
+    return found.select("subject", "sender", "date", F.col("found").cast("long").alias("tables"), F.size("tables").cast("long").alias("with_keyword"))

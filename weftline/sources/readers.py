@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_html
+from ..functions.text import clean_html, html_tables
 
 EVENT_SCHEMA = "style_id string, order_id string, category string, event_type string, date string, related_date string, delay_days int, party_from string, party_to string, description string, confidence double, source_filename string, source_subject string"
 ORGANIZATION_SCHEMA = "departments array<struct<id:string,name:string,manager:string>>, users array<struct<id:string,name:string,email:string,department:string,role:string,reports_to:string,type:string>>, style_assignments array<struct<style_id:string,primary_owner:string,secondary_owners:array<string>,watchers:array<string>,assigned_date:string>>"
@@ -70,6 +70,15 @@ def parse_mails(files: DataFrame, head_bytes: int | None = None) -> DataFrame:
     return mails.withColumn("content", F.when(F.trim("plain") != "", F.col("plain")).otherwise(clean_html(F.col("html"), full=True)))
 
 
+def mail_details(mails: DataFrame, keyword: str | None = None) -> DataFrame:
+    """(path, subject, sender, date, found, tables) of parsed mails: the tables of their HTML that have the keyword, in
+    either case, in their cells (all, if there is none), and how many tables there are."""
+    every = html_tables(F.coalesce("html", F.lit("")))
+    cells = lambda table: F.lower(F.array_join(F.flatten(table), " "))
+    shown = every if keyword is None else F.filter(every, lambda t: cells(t).contains(keyword.lower()))
+    return mails.select("path", "subject", "sender", "date", F.size(every).alias("found"), shown.alias("tables"))
+
+
 def find_file(files: DataFrame, name: str) -> DataFrame:
     """The file of that name, else the first that begins with it."""
     base = F.element_at(F.split("path", "/"), -1)
