@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftline.operators import collection as C
 from weftline.operators import embedding as E
 from weftline.operators import terms as T
+from weftline.plans.asked import engine
 from weftline.sources.parts import Parts, by_range
 
 
@@ -57,6 +58,19 @@ def test_empty_collection(spark, stored, tmp_path):
     assert none.search(asked(df, 10)).count() == 0 and none.search(asked(df, 10), exact=True).count() == 0
 
 
+def test_an_engine_over_stored_vectors(spark, sf_dir, tmp_path):
+    e, plain = engine(spark, sf_dir), engine(spark, sf_dir)
+    e.store_vectors(str(tmp_path), exact=True)
+    calls = [("semantic_search", {"query": "1996-07 延期 30"}), ("semantic_search", {"query": "款号42", "style_ids": [42, 7]}), ("semantic_search_by_date", {"query": "1997", "start": "1997-01-01", "end": "1997-03-01"}), ("semantic_search_by_conditions", {"query": "30", "categories": ["RF"], "min_delay_days": 100, "top_k": 4})]
+    for name, p in calls:
+        assert e.call(name, **p).collect() == plain.call(name, **p).collect() and not plain.call(name, **p).isEmpty()
+    e.open_vectors(C.VectorCollection(spark, str(tmp_path), "key"))
+    found = {tuple(r) for name, p in calls for r in e.call(name, **p).collect()}
+    wanted = {tuple(r) for name, p in calls for r in plain.call(name, **p).collect()}
+    scores = lambda rows: sorted(r[-1] for r in rows)
+    assert len(found) == len(wanted) and sum(a == b for a, b in zip(scores(found), scores(wanted), strict=True)) >= 0.9 * len(wanted)
+
+
 def test_batches_are_tried_again(spark, tmp_path):
     log = tmp_path / "log"
 

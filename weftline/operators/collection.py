@@ -7,6 +7,7 @@ beside the vectors. A search reads the cells nearest to a query, of those that h
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -22,6 +23,14 @@ SAMPLE_ROWS, MOST_CELLS, SPLITS = 50_000, 4_096, 4
 PROBE, EXPAND = 8, 20
 
 
+#: Which rows a search is about: a condition, or what leaves of a table the rows that count.
+Filter = Column | Callable[[DataFrame], DataFrame] | None
+
+
+def _filtered(rows: DataFrame, where: Filter) -> DataFrame:
+    return rows if where is None else where(rows) if callable(where) and not isinstance(where, Column) else rows.where(where)
+
+
 def usable(vec: str) -> Column:
     """Whether a vector has a direction: it is there, is not all zero and holds finite numbers only."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -68,9 +77,9 @@ class VectorCollection:
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return any(f.getPath().getName().startswith("cell=") for f in fs.listStatus(at))
 
-    def _nearest_cells(self, queries: list, k: int, where: Column | None, probe: int) -> list[tuple]:
+    def _nearest_cells(self, queries: list, k: int, where: Filter, probe: int) -> list[tuple]:
         """(query_id, cell): for each query its nearest cells among those with matching rows, until there are enough."""
-        matching = self.rows if where is None else self.rows.where(where)
+        matching = _filtered(self.rows, where)
         held = {r.cell: r["count"] for r in matching.groupBy("cell").count().collect()}
         length = np.linalg.norm(self.centres, axis=1)
         out = []
@@ -85,7 +94,7 @@ class VectorCollection:
                     taken, rows = taken + 1, rows + n
         return out
 
-    def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, probe: int = PROBE, exact: bool = False, but_self: bool = False, least: float | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, where: Filter = None, probe: int = PROBE, exact: bool = False, but_self: bool = False, least: float | None = None) -> DataFrame:
         """The stored columns with query_id, score (cosine) and rank of the k nearest rows that pass `where`, for each of
         at most MOST_QUERIES queries (query_id, query); ties to the smaller id.
 
@@ -98,7 +107,7 @@ class VectorCollection:
         if self.rows is None or not dim:
             asked = asked.limit(0)
         columns = self.rows.drop("cell") if self.rows is not None else self.spark.createDataFrame([], f"{self.id_col} long, {self.vec_col} array<float>")
-        matching = columns if where is None else columns.where(where)
+        matching = _filtered(columns, where)
         if exact or self.rows is None:
             return top_k(matching, asked, k, self.id_col, self.vec_col, least, but_self=but_self)
         some = [(r.query_id, r["query"]) for r in asked.limit(MOST_QUERIES + 1).collect()]
@@ -107,12 +116,11 @@ class VectorCollection:
         pairs = self._nearest_cells(some, k, where, probe)
         visits = self.spark.createDataFrame(pairs, f"query_id {queries.schema['query_id'].dataType.simpleString()}, cell int").join(asked.select("query_id", "query"), "query_id")
         read = self.rows.where(F.col("cell").isin(sorted({c for _, c in pairs})))
-        read = read if where is None else read.where(where)
-        met = read.join(F.broadcast(visits), "cell").drop("cell")
+        met = _filtered(read, where).join(F.broadcast(visits), "cell").drop("cell")
         score = F.round(dot(self.vec_col, "query") / (norm(self.vec_col) * norm("query")), 6)
         return best(met.withColumn("score", score).drop("query"), k, self.id_col, least, but_self)
 
-    def recall(self, queries: DataFrame, k: int = 10, where: Column | None = None, probe: int = PROBE) -> float:
+    def recall(self, queries: DataFrame, k: int = 10, where: Filter = None, probe: int = PROBE) -> float:
         """The share of the exact results that a search finds."""
         ids = lambda exact: self.search(queries, k, where, probe, exact).select("query_id", self.id_col)
         right = ids(True)

@@ -13,7 +13,7 @@ from ..sources import readers
 from ..streaming import graph_state as S
 from ..streaming import sessions as R
 from ..streaming.pointer import shared_folder
-from .asked import query
+from .asked import _hits, query
 from .build import GraphBuild, Inputs
 from .domain import CTE, factories, style_factory
 from .validation import EMPTY, FILLED, NO_CALL, validate
@@ -338,3 +338,10 @@ def executable_questions(e, t):
 def call_that_does_not_fit(e, t):
     """Questions with a call of no interface, with a parameter that it does not take, or without one that it needs."""
     return validate(e, questions(t).where(F.col("question").startswith("unfit")))
+
+
+@query(_hits("1996-07 延期 30", "category IN ('RF', 'AF') AND delay_days >= 30 AND date >= '1996-01-01' AND date <= '1996-12-31'", 15))
+def stored_search_by_conditions(e, t):
+    """A search by conditions over vectors that were stored once, exactly."""
+    e.store_vectors(f"{shared_folder(e.spark)}/events", exact=True)
+    return e.call("semantic_search_by_conditions", query="1996-07 延期 30", categories=["RF", "AF"], min_delay_days=30, start="1996-01-01", end="1996-12-31", top_k=15)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import collection as C
 from ..operators import graph as G
 from ..operators import retrieval as V
 from ..operators import rollups as A
@@ -58,6 +59,8 @@ class Engine:
         self.spark, self.sf_dir = spark, sf_dir
         self.terms = terms if terms is not None else table(spark, sf_dir, "part").select(F.lower("p_name").alias("term"), F.col("p_type").alias("translation"))
         self.encode = encode or V.hashing_encoder()
+        self.collection: C.VectorCollection | None = None
+        self.exact = False
 
     # what interfaces are made of
 
@@ -128,21 +131,34 @@ class Engine:
         return V.batch_translate(self.terms, self.spark.createDataFrame([(query,)], "wanted string"))
 
     def semantic_search(self, query: str, style_ids: list[int] | None = None, top_k: int = TOP_K) -> DataFrame:
-        return self._nearest(query, self.of_styles(style_ids), top_k)
+        return self._nearest(query, lambda rows: rows if style_ids is None else rows.where(F.col("style_id").isin(list(style_ids))), top_k)
 
     def semantic_search_by_conditions(self, query: str, top_k: int = TOP_K, **conditions) -> DataFrame:
-        return self._nearest(query, V.by_conditions(self.events, **conditions), top_k)
+        return self._nearest(query, lambda rows: V.by_conditions(rows, **conditions), top_k)
 
     def semantic_search_by_date(self, query: str, start: str | None = None, end: str | None = None, top_k: int = TOP_K) -> DataFrame:
-        return self._nearest(query, V.by_conditions(self.events, start=start, end=end), top_k)
+        return self._nearest(query, lambda rows: V.by_conditions(rows, start=start, end=end), top_k)
 
     def document(self) -> Column:
         return X.event_document({"款号": F.col("style_id"), "阶段": F.col("category"), "类型": F.col("event_type"), "日期": F.col("date"), "延期": F.col("delay_days")})
 
-    def _nearest(self, query: str, rows: DataFrame, top_k: int) -> DataFrame:
+    def _encoded(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("embedding", self.encode(self.document())).withColumn("key", G.event_id())
+
+    def store_vectors(self, path: str, exact: bool = False) -> None:
+        """Encodes all events once, into a collection under path; from then on searches read its cells, or, with `exact`,
+        all of its vectors, instead of encoding events anew."""
+        kept = self.events.select("style_id", *SEQ, "category", "event_type", "date", "delay_days", "shipped")
+        self.open_vectors(C.create(self._encoded(kept), path, "key"), exact)
+
+    def open_vectors(self, collection: C.VectorCollection, exact: bool = False) -> None:
+        self.collection, self.exact = collection, exact
+
+    def _nearest(self, query: str, narrow: Callable[[DataFrame], DataFrame], top_k: int) -> DataFrame:
         asked = self.spark.range(1).select(F.lit(0).alias("query_id"), self.encode(F.lit(query)).alias("query"))
-        store = rows.withColumn("embedding", self.encode(self.document())).withColumn("key", G.event_id())
-        return self._as_events(V.top_k(store, asked, top_k, id_col="key"), "score")
+        if self.collection is not None:
+            return self._as_events(self.collection.search(asked, top_k, narrow, exact=self.exact), "score")
+        return self._as_events(V.top_k(self._encoded(narrow(self.events)), asked, top_k, id_col="key"), "score")
 
     # calls
 
@@ -198,7 +214,7 @@ class Engine:
         elif strategy == "rag_semantic":
             if person_name and not style_ids:
                 own = self.call("person_styles", person_name=person_name).select("style_id")
-                answer.parts["hits"] = self._nearest(question, self.events.join(own, "style_id", "left_semi"), top_k)
+                answer.parts["hits"] = self._nearest(question, lambda rows: rows.join(own, "style_id", "left_semi"), top_k)
             else:
                 answer.parts["hits"] = self.call("semantic_search", query=question, style_ids=style_ids, top_k=top_k)
         elif strategy == "kg_temporal":
