@@ -11,9 +11,9 @@ import numpy as np
 #: them for links to nodes that no other link reaches, and candidates a node.
 NEAR, UPPER, FAR, JOINS, WIDE = 32, 16, 8, 4, 48
 #: A node is also in the next level with this chance, and if none of so many nearest ones is.
-RISE, COVER = 1 / 16, 12
+RISE, COVER = 1 / 16, 16
 #: Candidates of a walk through an upper level, and how many of them a walk through the next level begins with.
-UPPER_BEAM, HANDED = 48, 8
+UPPER_BEAM, HANDED = 24, 4
 
 
 @dataclass
