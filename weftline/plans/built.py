@@ -155,7 +155,7 @@ _BUILD = f"""{_ORG}, cu AS ({_CUSTOMERS} SELECT 'c' AS what, email AS a, name AS
   UNION ALL SELECT 'edge', 'INVOLVED_IN', count(*) FROM (SELECT person, CAST(style_id AS VARCHAR) AS s FROM slots UNION SELECT src, dst FROM inv)
   UNION ALL SELECT 'edge', 'COLLABORATED_WITH', 2 * count(*) FROM (SELECT DISTINCT least(party_from, party_to), greatest(party_from, party_to) FROM ev WHERE party_from <> party_to)
   UNION ALL SELECT 'edge', 'FOLLOWS', (SELECT count(*) FROM ev) - (SELECT count(*) FROM (SELECT DISTINCT style_id, category FROM ev)) UNION ALL SELECT 'edge', 'PRODUCED_BY', count(*) FROM sf
-  UNION ALL SELECT 'edge', rel_type, count(*) FROM oe WHERE rel_type <> 'INVOLVED_IN' GROUP BY 2 UNION ALL SELECT 'edge', k, count(*) FROM cu, (VALUES ('HAS_STYLE'), ('ORDERED_BY')) v(k) WHERE what = 'l' GROUP BY 2
+  UNION ALL SELECT 'edge', k, (SELECT count(*) FROM oe WHERE rel_type = k) FROM (VALUES ('BELONGS_TO_DEPT'), ('REPORTS_TO'), ('MANAGES'), ('RESPONSIBLE_FOR')) v(k) UNION ALL SELECT 'edge', k, (SELECT count(*) FROM cu WHERE what = 'l') FROM (VALUES ('HAS_STYLE'), ('ORDERED_BY')) v(k)
 )
 SELECT kind, label, CAST(n AS BIGINT) AS n FROM counts UNION ALL SELECT kind, 'total', CAST(sum(n) AS BIGINT) FROM counts GROUP BY 1"""
 
