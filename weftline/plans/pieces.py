@@ -18,7 +18,7 @@ from ..operators import rollups as A
 from ..operators import shaping as O
 from ..sources import readers, writers
 from ..streaming.pointer import shared_folder
-from . import asked, built, templated, texts  # noqa: F401  (registers its queries)
+from . import asked, built, jobs, templated, texts  # noqa: F401  (registers its queries)
 from . import planner as R
 from .asked import query
 from .domain import CTE, SEQ, departments, factories, style_factory
