@@ -139,12 +139,25 @@ def department_styles(involved: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(involved, "person").groupBy("dept_id", "style_id").agg(F.min("person").alias("first_member"))
 
 
-def customer_details(events: DataFrame, style_factory: DataFrame) -> DataFrame:
-    """Three hops: a customer's styles, the people in them, their factories. People are told by their keys, two to a
-    number, so the widest join carries two numbers a row and needs no names."""
+#: Parties in the sets of a customer's styles, at most, that one row gathers; customers with more are counted by rows.
+GATHERED = 20_000
+
+
+def customer_details(events: DataFrame, style_factory: DataFrame, gathered: int = GATHERED) -> DataFrame:
+    """Three hops: a customer's styles, the people in them, their factories.
+
+    People are told by their keys, two to a number. A style's people travel as a set to its customers, so the join has a
+    row a customer and style and the union is made where they meet. Sets are gathered for customers whose styles have few
+    enough people in all, known from counts before; for the others every (customer, person) is a row.
+    """
     own = events.select("customer_id", "style_id").distinct()
     party = F.explode(F.array(2 * F.col("factory_id"), 2 * F.col("customer_id") + 1)).alias("party")
     involved = events.select("style_id", party).distinct()
-    people = own.join(involved, "style_id").groupBy("customer_id").agg(F.countDistinct("party").alias("people"))
+    sizes = involved.groupBy("style_id").agg(F.count(F.lit(1)).alias("n"))
+    weights = own.join(sizes, "style_id").groupBy("customer_id").agg(F.sum("n").alias("weight"))
+    of = lambda which: own.join(weights.where(which), "customer_id", "left_semi")
+    sets = involved.join(sizes.where(F.col("n") <= gathered), "style_id", "left_semi").groupBy("style_id").agg(F.collect_list("party").alias("parties"))
+    few = of(F.col("weight") <= gathered).join(sets, "style_id").groupBy("customer_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("parties")))).cast("long").alias("people"))
+    many = of(F.col("weight") > gathered).join(involved, "style_id").groupBy("customer_id").agg(F.countDistinct("party").alias("people"))
     made = own.join(style_factory, "style_id").groupBy("customer_id").agg(F.countDistinct("style_id").alias("styles"), F.array_join(F.transform(F.array_sort(F.collect_set("factory_id")), lambda x: x.cast("string")), ",").alias("factory_ids"))
-    return made.join(people, "customer_id")
+    return made.join(few.unionByName(many), "customer_id")
