@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +15,14 @@ from pyspark.sql import functions as F
 from .common import col, over_texts, ship
 from .features import QUALITY_FEATURES, quality_features
 
-#: The most labelled documents that the model is fitted on, and the preference pairs drawn among them.
-MOST_LABELLED = 20_000
+#: Pairs that a test may draw to hold the fit against; the fit itself takes all.
 PAIRS = 100_000
+#: The loss of all pairs is summed on a grid of scores: a score is shared among the points near it by Lagrange's weights,
+#: which give the loss's slope at any difference of two scores to some 1e-12.
+STEP = 1 / 16
+NEAR = np.arange(-3, 5)
+#: Width of the cells of scores that the curvature is summed over; it only decides how fast the fit converges.
+CELL = 1 / 2
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -30,8 +38,15 @@ class Ranking:
     weights: np.ndarray
     threshold: float
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return _squash((x - self.centre) / self.scale)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Row by row: what a row gets does not depend on those beside it, as it may in a matrix product."""
+        return (self.inputs(x) * self.weights).sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return sigmoid(_squash((x - self.centre) / self.scale) @ self.weights - self.threshold)
+        return sigmoid(self.raw(x) - self.threshold)
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
@@ -39,31 +54,146 @@ def _squash(z: np.ndarray) -> np.ndarray:
     return np.sign(z) * np.log1p(np.abs(z))
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, seed: int = 42) -> Ranking:
-    """Weights under which a document of label 1 outranks one of label 0: logistic loss on feature differences, by Newton steps.
+def _add(a: dict, b: dict) -> dict:
+    for k, v in b.items():
+        a[k] = a[k] + v if k in a else v
+    return a
+
+
+@dataclass
+class Labelled:
+    """Columns y and x of labelled documents, which stay where they are: only sums over them come to the driver."""
+
+    rows: DataFrame
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def total(self, f: Callable[[np.ndarray, np.ndarray], dict]) -> dict:
+        """The sums, by key, of what f(x, y) gives for blocks of rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict = {}
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    _add(found, f(x, batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)], pa.binary())], ["part"])
+
+        parts = self.rows.select("y", "x").mapInArrow(run, "part binary").rdd.map(lambda r: pickle.loads(r[0]))
+        return parts.treeReduce(_add) if parts.getNumPartitions() else {}
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> dict:
+    return {"x": x.sum(0)} | {label: int((y == label).sum()) for label in (0, 1)}
+
+
+def _squares(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> dict:
+    return {"xx": ((x - centre) ** 2).sum(0)}
+
+
+def _tally(x: np.ndarray, y: np.ndarray, model: Ranking) -> dict:
+    """By label: number and summed inputs at each point of the grid, and their products in each cell."""
+    found: dict = {}
+    z, s = model.inputs(x), model.raw(x)
+    for label in np.unique(y).tolist():
+        rows, of = np.column_stack([np.ones(len(z)), z])[y == label], s[y == label]
+        order = np.argsort(of, kind="stable")
+        rows, of = rows[order], of[order] / STEP
+        base = np.floor(of)
+        starts = np.flatnonzero(np.diff(base, prepend=base[0] - 1))
+        for n in NEAR:
+            share = np.prod([(of - base - m) / (n - m) for m in NEAR if m != n], axis=0)
+            points = (base[starts] + n).astype(int).tolist()
+            _add(found, {("point", label, p): v for p, v in zip(points, np.add.reduceat(rows * share[:, None], starts), strict=True)})
+        cell = np.floor(of * (STEP / CELL))
+        for c in np.unique(cell).tolist():
+            some = rows[cell == c]
+            found["cell", label, int(c)] = some.T @ some
+    return found
+
+
+def _slope(tally: dict) -> np.ndarray:
+    """The sum over all pairs of sigmoid(s0 - s1) (z0 - z1), of documents 1 of label 1 and 0 of label 0."""
+    (at1, sum1), (at0, sum0) = (_of(tally, "point", label) for label in (1, 0))
+    total = np.zeros(sum1.shape[1] - 1)
+    for i in range(0, len(at1), 1024):
+        p = sigmoid((at0 - at1[i : i + 1024, None]) * STEP)
+        total += (sum1[i : i + 1024, 0] @ p) @ sum0[:, 1:] - (p @ sum0[:, 0]) @ sum1[i : i + 1024, 1:]
+    return total
+
+
+def _curvature(tally: dict) -> np.ndarray:
+    """The sum over all pairs of p (1 - p) (z1 - z0) (z1 - z0)', p taken at the cells of the two scores."""
+    (at1, sum1), (at0, sum0) = (_of(tally, "cell", label) for label in (1, 0))
+    total = np.zeros((sum1.shape[1] - 1,) * 2)
+    for a, m in zip(at1, sum1, strict=True):
+        p = sigmoid((at0 - a) * CELL)
+        n, z, zz = (np.tensordot(p * (1 - p), part, 1) for part in (sum0[:, 0, 0], sum0[:, 0, 1:], sum0[:, 1:, 1:]))
+        crossed = np.outer(m[0, 1:], z)
+        total += m[1:, 1:] * n + m[0, 0] * zz - crossed - crossed.T
+    return total
+
+
+def _of(tally: dict, kind: str, label: int) -> tuple[np.ndarray, np.ndarray]:
+    at = sorted(k[2] for k in tally if k[:2] == (kind, label))
+    return np.array(at, float), np.array([tally[kind, label, p] for p in at])
+
+
+def _prefixes(x: np.ndarray, y: np.ndarray, model: Ranking, known: list[int], shift: int) -> dict:
+    """Counts of the scores' leading bits, as integers in the scores' order, where those before the last 16 are known."""
+    bits = (model.raw(x) + 0.0).view(np.uint64)
+    first = np.uint64(1 << 63)
+    leading = np.where(bits >= first, ~bits, bits | first) >> np.uint64(shift)
+    values, counts = np.unique(leading[np.isin(leading >> np.uint64(16), np.array(known, np.uint64))], return_counts=True)
+    return dict(zip(values.tolist(), counts.tolist(), strict=True))
+
+
+def _at_ranks(total: Callable, model: Ranking, ranks: set[int]) -> list[float]:
+    """The scores at these ranks from 0 up, exactly: 16 bits of each a pass, by counts."""
+    found = {rank: (0, rank) for rank in ranks}
+    for shift in (48, 32, 16, 0):
+        counts = sorted(total(partial(_prefixes, model=model, known=sorted({p for p, _ in found.values()}), shift=shift)).items())
+        for rank, (known, left) in found.items():
+            for value, n in counts:
+                if value >> 16 == known:
+                    if left < n:
+                        found[rank] = (value, left)
+                        break
+                    left -= n
+    keys = np.array([p for p, _ in found.values()], np.uint64)
+    first = np.uint64(1 << 63)
+    return np.where(keys >= first, keys ^ first, ~keys).view(np.float64).tolist()
+
+
+def fit_ranking(x: np.ndarray | Labelled, y: np.ndarray | None, penalty: float = 1e-3) -> Ranking:
+    """Weights under which documents of label 1 outrank those of label 0: logistic loss on the feature differences of all
+    pairs of the two, by Newton steps. Each step is one pass over the rows, whose cost follows their number.
 
     The threshold is the score quantile at the share of label 0: as many training documents pass as have label 1.
+    Figures are rounded so that the order in which Spark sums does not show. y is part of a Labelled x.
     """
-    k = x.shape[1] if x.ndim == 2 else len(QUALITY_FEATURES)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        level = 0.0 if not len(y) else (4.0 if len(good) else -4.0)
+    total = x.total if isinstance(x, Labelled) else lambda f: f(x, y) if len(x) else {}
+    sums = total(_sums)
+    bad, good = sums.get(0, 0), sums.get(1, 0)
+    k, n = len(sums.get("x", QUALITY_FEATURES)), bad + good
+    if not good or not bad:
+        level = 0.0 if not n else (4.0 if good else -4.0)
         return Ranking(np.zeros(k), np.ones(k), np.zeros(k), -level)
-    centre, scale = x.mean(0), x.std(0) + 1e-6
-    z = _squash((x - centre) / scale)
-    rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(k)
-    for _ in range(25):
-        p = sigmoid(-(d @ w))
-        gradient = penalty * w - d.T @ p / pairs
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(k)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+    centre = np.round(sums["x"] / n, 12)
+    scale = np.round(np.sqrt(total(partial(_squares, centre=centre))["xx"] / n), 12) + 1e-6
+    model = Ranking(centre, scale, np.zeros(k), 0.0)
+    for _ in range(50):
+        tally = total(partial(_tally, model=model))
+        gradient = penalty * model.weights + _slope(tally) / (good * bad)
+        step = np.linalg.solve(_curvature(tally) / (good * bad) + penalty * np.eye(k), gradient)
+        model.weights = model.weights - step
+        if np.abs(step).max() < 1e-8:
             break
-    threshold = float(np.quantile(z @ w, len(bad) / len(y), method="midpoint"))
-    return Ranking(centre, scale, w, threshold)
+    model.weights = np.round(model.weights, 7)
+    below = (n - 1) * bad // n
+    model.threshold = float(np.mean(_at_ranks(total, model, {below, below + 1})))
+    return model
 
 
 def bounded_sample(labels: DataFrame, id_col: str, most: int) -> DataFrame:
@@ -78,21 +208,22 @@ def _featured(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return over_texts(df, keep, text_col, lambda: features, "x array<double>")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> Ranking:
-    """Fits on the documents of at most `most` labelled ids (a bounded sample by hash), one of each id however often it
-    repeats. Rows without a text, id or label are left out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """Fits on all labelled documents, one of each id however often it repeats. Rows without a text, id or label are left
+    out.
 
-    The sample is broadcast, and its features come to the driver: its size bounds both.
+    Texts are not shuffled, their features are: they meet the labels by id and stay in Spark. A pass over them sends the
+    driver sums by score, as many as the scores' range has steps.
     """
     ship(docs.sparkSession)
     labelled = labels.where(col(label_col).isin(0, 1) & col(id_col).isNotNull()).groupBy(col(id_col).alias("__id")).agg(F.min(col(label_col)).cast("int").alias("__y"))
-    known = bounded_sample(labelled, "__id", most)
-    texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("__doc"), col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__id", "__y", "text")
-    one_each = _featured(joined, ["__id", "__y"], "text").groupBy("__id").agg(F.min("__y").alias("__y"), F.min("x").alias("x"))
-    rows = one_each.toPandas().sort_values("__id", kind="stable")
-    x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(QUALITY_FEATURES))
-    return fit_ranking(x, rows["__y"].to_numpy())
+    texts = docs.where(col(text_col).isNotNull() & col(id_col).isNotNull()).select(col(id_col).alias("__doc"), col(text_col).alias("text"))
+    joined = _featured(texts, ["__doc"], "text").join(labelled, F.col("__doc") == F.col("__id"))
+    rows = joined.groupBy("__id").agg(F.min("__y").alias("y"), F.min("x").alias("x")).persist()
+    try:
+        return fit_ranking(Labelled(rows), None)
+    finally:
+        rows.unpersist()
 
 
 def score(docs: DataFrame, model: Ranking, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
