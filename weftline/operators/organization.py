@@ -107,7 +107,7 @@ def customers(members: DataFrame, sources: list[str]) -> DataFrame:
 def customer_styles(found: DataFrame, mailed: DataFrame, styles: DataFrame) -> dict[str, DataFrame]:
     """What customers' mail (email, style_id) says: `edges` to styles that are known, in both directions, `customers` with
     all their styles, unknown ones too, and `styles` with their number of customers."""
-    own = mailed.where(_filled("style_id")).select(F.lower("email").alias("email"), "style_id").distinct().join(found.select("email"), "email", "left_semi")
+    own = mailed.where(_filled("style_id")).select(F.lower("email").alias("email"), "style_id").join(found.select("email"), "email", "left_semi").distinct()
     known = own.join(styles.select(F.col("style_id").cast("string").alias("style_id")).distinct(), "style_id", "left_semi")
     both = F.inline(F.array(F.struct(F.lit("HAS_STYLE").alias("rel_type"), F.col("email").alias("src"), F.col("style_id").alias("dst")), F.struct(F.lit("ORDERED_BY").alias("rel_type"), F.col("style_id").alias("src"), F.col("email").alias("dst"))))
     counted = found.join(own.groupBy("email").agg(F.count(F.lit(1)).alias("style_count")), "email", "left").select("email", "name", "source", F.coalesce("style_count", F.lit(0)).alias("style_count"))

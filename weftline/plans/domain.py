@@ -25,13 +25,12 @@ def events(spark: SparkSession, sf_dir: str, names: bool = True) -> DataFrame:
     is signed; confidence is in hundredths. Without names party_from and party_to are left out, and with them two joins
     that a plan would have to make whatever it asks for."""
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = line.join(order, line.l_orderkey == order.o_orderkey)
     parties = []
-    if names:
+    if names:  # names come to an order before its lines do, so that lines are dealt out twice, not three times
         supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-        joined = joined.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        line, order = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")), order.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         parties = [F.col("s_name").alias("party_from"), F.col("c_name").alias("party_to")]
-    return joined.select(
+    return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_partkey").cast("long").alias("style_id"),
         F.col("l_orderkey").cast("long").alias("order_id"),
         F.col("l_linenumber").cast("long").alias("line"),

@@ -107,22 +107,32 @@ def read_factories(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.coalesce("style_id", F.lit("")) != "") & (F.coalesce("factory_name", F.lit("")) != ""))
 
 
+def _parsed(spark: SparkSession, path: str, schema: str, lines: bool, kept: str | None) -> DataFrame:
+    """JSON documents; with `kept`, a new folder, they are parsed once, whatever is then made of them."""
+    docs = spark.read.schema(schema).option("multiLine", not lines).json(path)
+    if kept is None:
+        return docs
+    docs.write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
 def _entries(docs: DataFrame, array: str) -> DataFrame:
     """The entries of an array, with their place in it as `seq`."""
     return docs.select(F.posexplode(array).alias("seq", "v")).select("v.*", "seq")
 
 
-def read_organization(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+def read_organization(spark: SparkSession, path: str, lines: bool = False, kept: str | None = None) -> dict[str, DataFrame]:
     """The chart's three arrays as tables, entries in their order (seq). With `lines` every line is a chart, or a part of
-    one, so that a large one is read in parallel; entries of different lines have no order."""
-    org = spark.read.schema(ORGANIZATION_SCHEMA).option("multiLine", not lines).json(path)
+    one, so that a large one is read in parallel; entries of different lines have no order. `kept`: a folder that what was
+    parsed is stored in, for charts that are read more than once."""
+    org = _parsed(spark, path, ORGANIZATION_SCHEMA, lines, kept)
     return {k: _entries(org, k) for k in ("departments", "users", "style_assignments")}
 
 
-def read_summary(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
-    """Members by company, in their order (seq), and the styles that each address sent or received mail about; `lines` as
-    for read_organization."""
-    raw = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", not lines).json(path)
+def read_summary(spark: SparkSession, path: str, lines: bool = False, kept: str | None = None) -> dict[str, DataFrame]:
+    """Members by company, in their order (seq), and the styles that each address sent or received mail about; `lines` and
+    `kept` as for read_organization."""
+    raw = _parsed(spark, path, SUMMARY_SCHEMA, lines, kept)
     people = raw.select(F.explode("company_people").alias("company", "v")).select("company", F.posexplode("v.members").alias("seq", "m")).select("company", "m.*", "seq")
     styles = raw.select(F.explode("top_senders").alias("email", "v")).unionByName(raw.select(F.explode("top_recipients").alias("email", "v")))
-    return {"people": people, "styles": styles.select(F.lower("email").alias("email"), F.explode("v.style_list").alias("style_id")).distinct()}
+    return {"people": people, "styles": styles.select(F.lower("email").alias("email"), F.explode("v.style_list").alias("style_id")).repartition("email").distinct()}
