@@ -22,8 +22,8 @@ from .oracles import _COS, _SLOTS
 
 #: Companies whose members are customers, in order of precedence.
 SOURCES = ["BUILDING", "MACHINERY"]
-#: Styles of an address in one line of a summary, at most.
-LISTED = 1_000
+#: Addresses in one line of a summary, and styles of each, at most.
+ADDRESSES, LISTED = 64, 1_000
 
 
 def known_styles(t):
@@ -62,8 +62,9 @@ def organization(e, t) -> dict:
 
 def summary(e, t) -> dict:
     """A summary of the tables, written in lines and read: customers are members of their segment, some of two segments,
-    some unread or without an address, and mail about the styles of their orders, in either case. An address has a line for
-    every LISTED of its styles: a parser's cost is by the line, most of all if each has a name that it has not met."""
+    some unread or without an address, and mail about the styles of their orders, in either case. A line has ADDRESSES
+    addresses, each with LISTED of its styles: a parser's cost is by the line, most of all if each has names that it has
+    not met."""
     c = t("customer")
     key, name = F.col("c_custkey"), F.col("c_name")
     email = F.when(key % 17 == 0, "").when(key % 3 == 0, F.upper(F.concat(name, F.lit("@Y ")))).otherwise(F.concat(name, F.lit("@y")))
@@ -71,14 +72,13 @@ def summary(e, t) -> dict:
     member = lambda label: F.struct(F.array(F.struct(email.alias("email"), F.concat(given, F.lit(label)).alias("name"))).alias("members"))
     two = F.when(key % 4 == 0, F.create_map(F.col("c_mktsegment"), member(""), F.lit("BUILDING "), member(" again"))).otherwise(F.create_map("c_mktsegment", member("")))
     both = c.select(F.when((key % 4 == 1) & (F.col("c_mktsegment") != "MACHINERY"), F.map_concat(F.create_map("c_mktsegment", member("")), F.create_map(F.lit("MACHINERY"), member(" also")))).otherwise(two).alias("company_people"))
-    sent = (F.col("line") % 2 == 0).alias("sent")
-    mails = e.events.select("party_to", "style_id", sent).repartition("party_to").distinct()
-    part = F.floor((F.row_number().over(Window.partitionBy("party_to", "sent").orderBy("style_id")) - 1) / LISTED).alias("part")
+    sent, email, block = (F.col("line") % 2 == 0).alias("sent"), F.concat("party_to", F.lit("@y")), F.floor(F.col("customer_id") / ADDRESSES).alias("block")
+    mails = e.events.select(block, sent, email.alias("email"), "style_id").repartition("block").withColumn("email", F.when(F.col("sent"), F.upper("email")).otherwise(F.col("email"))).distinct()
+    part = F.floor((F.row_number().over(Window.partitionBy("block", "sent", "email").orderBy("style_id")) - 1) / LISTED).alias("part")
     style = F.when(F.col("style_id") % 9 == 0, F.concat(F.lit("X"), "style_id")).otherwise(F.col("style_id").cast("string"))
-    lists = mails.select("party_to", "sent", style.alias("style_id"), part).groupBy("party_to", "sent", "part").agg(F.collect_list("style_id").alias("style_list"))
-    email = F.concat("party_to", F.lit("@y"))
-    listed = lambda of, key: F.when(of, F.create_map(key, F.struct("style_list")))
-    mailed = lists.select(listed(F.col("sent"), F.upper(email)).alias("top_senders"), listed(~F.col("sent"), email).alias("top_recipients"))
+    lists = mails.select("block", "sent", "email", style.alias("style_id"), part).groupBy("block", "sent", "email", "part").agg(F.struct(F.collect_list("style_id").alias("style_list")).alias("listed"))
+    packed = lists.groupBy("block", "sent", "part").agg(F.map_from_entries(F.collect_list(F.struct("email", "listed"))).alias("by_email"))
+    mailed = packed.select(F.when(F.col("sent"), F.col("by_email")).alias("top_senders"), F.when(~F.col("sent"), F.col("by_email")).alias("top_recipients"))
     at = f"{shared_folder(e.spark)}/summary"
     both.unionByName(mailed, allowMissingColumns=True).write.json(at)
     return readers.read_summary(e.spark, at, lines=True, kept=f"{at}-parsed")
