@@ -4,6 +4,8 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from weftline.operators import collection as C
+
 from weftline.plans import built as Q
 from weftline.plans.asked import engine
 from weftline.plans.domain import table
@@ -24,3 +26,16 @@ def test_summary_lists_styles_by_address_and_is_parsed_once(spark, sf_dir, monke
     assert rows(Q.summary(e, t)["styles"]) == rows(whole["styles"])
     want = e.events.select(F.lower(F.concat("party_to", F.lit("@y"))), F.when(F.col("style_id") % 9 == 0, F.concat(F.lit("X"), "style_id")).otherwise(F.col("style_id").cast("string"))).distinct()
     assert rows(whole["styles"]) == rows(want)
+
+
+def test_exact_store_needs_no_cells_and_encodes_a_row_once(spark, sf_dir, tmp_path, monkeypatch):
+    e = engine(spark, sf_dir)
+    plan = e._encoded(e.unnamed).where(C.usable("embedding"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("款号") == 1
+    monkeypatch.setattr(C, "KMeans", None)
+    e.store_vectors(str(tmp_path), exact=True)
+    assert e.collection.rows.count() == e.events.count() and len(e.collection.cells) == 1
+    asked = lambda: e.call("semantic_search_by_conditions", query="1996-07 延期 30", categories=["RF"], top_k=20)
+    stored = rows(asked())
+    e.collection = None
+    assert stored == rows(asked()) and len(stored) == 20

@@ -42,10 +42,16 @@ def create(rows: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "e
 
     Centroids come from k-means by cosine over at most SAMPLE_ROWS rows, drawn by a hash of the id; about the square root
     of the number of rows, if `cells` does not say how many, and never more than MOST_CELLS. Every row is in a cell. A cell
-    with very many rows is dealt to SPLITS files by its ids, so no task writes a whole one.
+    with very many rows is dealt to SPLITS files by its ids, so no task writes a whole one. A single cell, for collections
+    that are only searched exactly, needs no centroids: each task writes the rows that it has.
     """
     spark = rows.sparkSession
     kept = rows.where(usable(vec_col))
+    if cells == 1:
+        kept.withColumn("cell", F.lit(0)).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        some = kept.select(F.transform(vec_col, lambda x: x.cast("double")).alias("centre")).limit(1).collect()
+        spark.createDataFrame([(0, some[0].centre if some else [])], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        return VectorCollection(spark, path, id_col, vec_col)
     n = kept.count()
     wanted = max(1, min(cells or round(math.sqrt(n)), MOST_CELLS, max(n, 1)))
     vector = array_to_vector(F.transform(vec_col, lambda x: x.cast("double")))

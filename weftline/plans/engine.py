@@ -68,6 +68,11 @@ class Engine:
     def events(self) -> DataFrame:
         return events(self.spark, self.sf_dir)
 
+    @cached_property
+    def unnamed(self) -> DataFrame:
+        """The events without the parties' names."""
+        return events(self.spark, self.sf_dir, names=False)
+
     @cached_property
     def styles(self) -> DataFrame:
         return A.style_rollup(self.events, SEQ)
@@ -143,13 +148,16 @@ class Engine:
         return X.event_document({"款号": F.col("style_id"), "阶段": F.col("category"), "类型": F.col("event_type"), "日期": F.col("date"), "延期": F.col("delay_days")})
 
     def _encoded(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("embedding", self.encode(self.document())).withColumn("key", G.event_id())
+        """Rows with their vectors. These come out of generators, which no filter above takes apart: text and vector are
+        made once a row, however often they are referred to."""
+        told = rows.select("*", F.explode(F.array(self.document())).alias("__text"))
+        return told.select("*", F.explode(F.array(self.encode(F.col("__text")))).alias("embedding")).drop("__text").withColumn("key", G.event_id())
 
     def store_vectors(self, path: str, exact: bool = False) -> None:
         """Encodes all events once, into a collection under path; from then on searches read its cells, or, with `exact`,
         all of its vectors, instead of encoding events anew."""
-        kept = self.events.select("style_id", *SEQ, "category", "event_type", "date", "delay_days", "shipped")
-        self.open_vectors(C.create(self._encoded(kept), path, "key"), exact)
+        kept = self.unnamed.select("style_id", *SEQ, "category", "event_type", "date", "delay_days", "shipped")
+        self.open_vectors(C.create(self._encoded(kept), path, "key", cells=1 if exact else None), exact)
 
     def open_vectors(self, collection: C.VectorCollection, exact: bool = False) -> None:
         self.collection, self.exact = collection, exact
