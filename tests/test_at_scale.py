@@ -8,6 +8,7 @@ from weftline.operators import collection as C
 
 from weftline.plans import built as Q
 from weftline.plans.asked import engine
+from weftline.plans.build import GraphBuild, of_events
 from weftline.plans.domain import table
 
 
@@ -39,3 +40,14 @@ def test_exact_store_needs_no_cells_and_encodes_a_row_once(spark, sf_dir, tmp_pa
     stored = rows(asked())
     e.collection = None
     assert stored == rows(asked()) and len(stored) == 20
+
+
+def test_stages_of_a_build_read_what_is_stored(spark, sf_dir, tmp_path):
+    given = Q.build_inputs(engine(spark, sf_dir), partial(table, spark, sf_dir))
+    build = GraphBuild(spark, str(tmp_path / "g"))
+    tables = of_events(build, given)
+    assert tables and not any("supplier.parquet" in f for d in tables.values() for f in d.inputFiles())
+    build.run(given)
+    assert not list((tmp_path / "g").glob("*/_aside"))
+    swapped = build.edges("ORDERED_BY").select("dst", "src")
+    assert rows(swapped) == rows(build.edges("HAS_STYLE"))

@@ -32,16 +32,21 @@ def previous_event(rows: DataFrame, keys: list[str], at: str, value: str, tie: s
     return rows.join(prev, [*keys, at])
 
 
+def participations(events: DataFrame) -> DataFrame:
+    """(person, *SEQ, role), a row for each person and event: events are dealt out by their order and told by their keys
+    before there is a row a slot; with the same person in both slots the last role stays."""
+    return rollups.parties(events.select(*SEQ, "party_from", "party_to").repartition("order_id")).groupBy("person", *SEQ).agg(F.max("role").alias("role"))
+
+
 def edges(events: DataFrame, style_factory: DataFrame, factories: DataFrame) -> dict[str, DataFrame]:
     """Edges by relation, unique in (src, dst): with the same person in both slots the last role stays."""
     e = events.withColumn("event", event_id())
-    slots = rollups.parties(e)
     manager = factories.groupBy("dept_id").agg(F.min("factory_id").alias("manager"))
     return {
         "BELONGS_TO": e.select(F.col("event").alias("src"), F.col("style_id").cast("string").alias("dst")),
         "HAS_CATEGORY": e.select(F.col("event").alias("src"), F.col("category").alias("dst")),
         "FROM_EMAIL": e.select(F.col("event").alias("src"), F.col("order_id").cast("string").alias("dst")),
-        "PARTICIPATED_IN": slots.groupBy(F.col("person").alias("src"), F.col("event").alias("dst")).agg(F.max("role").alias("role")),
+        "PARTICIPATED_IN": participations(events).select(F.col("person").alias("src"), event_id().alias("dst"), "role"),
         "INVOLVED_IN": rollups.person_style(events).select(F.col("person").alias("src"), F.col("style_id").cast("string").alias("dst"), "event_count"),
         "COLLABORATED_WITH": rollups.collaborations(events).select(F.col("person").alias("src"), F.col("other").alias("dst"), "event_count", "style_count"),
         "FOLLOWS": follows(events).select("src", "dst", "time_gap_days"),

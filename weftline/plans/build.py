@@ -21,6 +21,9 @@ from ..streaming.pointer import Pointer
 #: Key of each label's nodes.
 NODES = {"Event": "event_id", "Style": "style_id", "Person": "person", "Category": "category", "Email": "email", "Factory": "factory_id", "Department": "dept_id", "Customer": "email"}
 
+#: Folder of what a stage stores for its own tables only.
+ASIDE = "_aside"
+
 
 @dataclass
 class Inputs:
@@ -39,35 +42,40 @@ def _edge(rows: DataFrame, src: str, dst: str, *props: str) -> DataFrame:
     return rows.select(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"), *props)
 
 
-def of_events(build: GraphBuild, given: Inputs) -> dict[str, DataFrame]:
-    e = given.events.withColumn("event_id", G.event_id())
-    slots = A.parties(e)
+#: A stage's tables, each as rows or as what makes them when the tables before it are written.
+Tables = dict[str, "DataFrame | Callable[[], DataFrame]"]
+
+
+def of_events(build: GraphBuild, given: Inputs) -> Tables:
+    events = build.keep("events", "given", given.events.select("style_id", "order_id", "line", "factory_id", "category", "date", "delay_days", "party_from", "party_to"))
+    e = events.withColumn("event_id", G.event_id())
+    slots = G.participations(events)
     return {
         "nodes/Event": e.select("event_id", "category", "date", "delay_days"),
-        "nodes/Style": A.style_rollup(given.events).withColumn("style_id", F.col("style_id").cast("string")),
-        "nodes/Person": A.person_rollup(given.events).withColumns({"name": F.col("person"), "is_from_email": F.lit(True)}),
-        "nodes/Category": A.category_rollup(given.events),
-        "nodes/Email": A.email_rollup(given.events).withColumn("email", F.col("email").cast("string")),
+        "nodes/Style": A.style_rollup(events).withColumn("style_id", F.col("style_id").cast("string")),
+        "nodes/Person": A.person_rollup(events).withColumns({"name": F.col("person"), "is_from_email": F.lit(True)}),
+        "nodes/Category": A.category_rollup(events),
+        "nodes/Email": A.email_rollup(events).withColumn("email", F.col("email").cast("string")),
         "edges/BELONGS_TO": _edge(e, "event_id", "style_id"),
         "edges/HAS_CATEGORY": _edge(e, "event_id", "category"),
         "edges/FROM_EMAIL": _edge(e, "event_id", "order_id"),
-        "edges/PARTICIPATED_IN": _edge(slots.groupBy("person", "event_id").agg(F.max("role").alias("role")), "person", "event_id", "role"),
-        "edges/INVOLVED_IN": _edge(A.person_style(given.events), "person", "style_id", "event_count"),
-        "edges/COLLABORATED_WITH": _edge(A.collaborations(given.events), "person", "other", "event_count", "style_count"),
-        "edges/FOLLOWS": _edge(G.follows(given.events), "src", "dst", "time_gap_days"),
+        "edges/PARTICIPATED_IN": _edge(slots.withColumn("event_id", G.event_id()), "person", "event_id", "role"),
+        "edges/INVOLVED_IN": _edge(A.person_style(events), "person", "style_id", "event_count"),
+        "edges/COLLABORATED_WITH": _edge(A.collaborations(events), "person", "other", "event_count", "style_count"),
+        "edges/FOLLOWS": _edge(G.follows(events), "src", "dst", "time_gap_days"),
     }
 
 
-def of_factories(build: GraphBuild, given: Inputs) -> dict[str, DataFrame]:
+def of_factories(build: GraphBuild, given: Inputs) -> Tables:
     styles = build.read("events", "nodes/Style")
     made = given.style_factory.select(F.col("style_id").cast("string").alias("style_id"), "factory_id").join(styles.select("style_id"), "style_id", "left_semi")
     sums = A.factory_rollup(given.factories, made, styles)
     return {"nodes/Factory": sums.withColumn("factory_id", F.col("factory_id").cast("string")), "edges/PRODUCED_BY": _edge(made.join(given.factories.select("factory_id"), "factory_id", "left_semi"), "style_id", "factory_id")}
 
 
-def of_organization(build: GraphBuild, given: Inputs) -> dict[str, DataFrame]:
-    rows = N.users(given.organization)
-    linked = N.edges(given.organization, rows, build.read("events", "nodes/Style"))
+def of_organization(build: GraphBuild, given: Inputs) -> Tables:
+    rows = build.keep("organization", "users", N.users(given.organization))
+    linked = build.keep("organization", "edges", N.edges(given.organization, rows, build.read("events", "nodes/Style")))
     props = {"RESPONSIBLE_FOR": ["assigned_date"], "INVOLVED_IN": ["involvement_type"]}
     return {
         "nodes/Person": N.people(rows), "nodes/Department": N.departments(given.organization, rows),
@@ -75,14 +83,19 @@ def of_organization(build: GraphBuild, given: Inputs) -> dict[str, DataFrame]:
     }
 
 
-def of_customers(build: GraphBuild, given: Inputs) -> dict[str, DataFrame]:
+def of_customers(build: GraphBuild, given: Inputs) -> Tables:
     found = N.customers(given.summary["people"], given.customer_sources)
     linked = N.customer_styles(found, given.summary["styles"], build.read("events", "nodes/Style"))
-    return {"nodes/Customer": linked["customers"], "nodes/Style": linked["styles"], **{f"edges/{k}": _edge(linked["edges"].where(F.col("rel_type") == k), "src", "dst") for k in ("HAS_STYLE", "ORDERED_BY")}}
+    has = lambda: build.read("customers", "edges/HAS_STYLE")
+    return {
+        "nodes/Customer": linked["customers"], "edges/HAS_STYLE": _edge(linked["edges"].where("rel_type = 'HAS_STYLE'"), "src", "dst"),
+        "edges/ORDERED_BY": lambda: has().select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+        "nodes/Style": lambda: has().groupBy(F.col("dst").alias("style_id")).agg(F.count(F.lit(1)).alias("customer_count")),
+    }
 
 
 #: The stages in their order, each with its function.
-STAGES: list[tuple[str, Callable[[GraphBuild, Inputs], dict[str, DataFrame]]]] = [("events", of_events), ("factories", of_factories), ("organization", of_organization), ("customers", of_customers)]
+STAGES: list[tuple[str, Callable[[GraphBuild, Inputs], Tables]]] = [("events", of_events), ("factories", of_factories), ("organization", of_organization), ("customers", of_customers)]
 
 
 class GraphBuild:
@@ -103,8 +116,9 @@ class GraphBuild:
                 continue
             tables = make(self, given)
             for name, rows in tables.items():
-                rows.write.mode("overwrite").parquet(f"{self.path}/{stage}/{name}")
+                (rows() if callable(rows) else rows).write.mode("overwrite").parquet(f"{self.path}/{stage}/{name}")
             self.marks.write_named(stage, {"tables": sorted(tables)})
+            self.marks.delete(f"{self.path}/{stage}/{ASIDE}")
             redone.append(stage)
         return redone
 
@@ -112,6 +126,11 @@ class GraphBuild:
         """Forgets a stage, so that the next run redoes it and no other."""
         self.marks.remove(stage)
 
+    def keep(self, stage: str, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that several of a stage's tables are made of, stored until they are complete."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/{stage}/{ASIDE}/{name}")
+        return self.read(stage, f"{ASIDE}/{name}")
+
     def read(self, stage: str, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{stage}/{name}")
 
