@@ -5,6 +5,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from weftline.operators import collection as C
+from weftline.operators import graph as G
 
 from weftline.plans import built as Q
 from weftline.plans.asked import engine
@@ -51,3 +52,15 @@ def test_stages_of_a_build_read_what_is_stored(spark, sf_dir, tmp_path):
     assert not list((tmp_path / "g").glob("*/_aside"))
     swapped = build.edges("ORDERED_BY").select("dst", "src")
     assert rows(swapped) == rows(build.edges("HAS_STYLE"))
+
+
+def test_graph_stats_count_what_edges_hold(spark):
+    events = [(s, o, n % 2, f, c, "RF" if n % 3 else None, "1996-01-0%d" % (n % 9 + 1), a, b) for n, (s, o, f, c, a, b) in enumerate([(1, 1, 1, 1, "A", "B"), (1, 1, 1, 1, "A", "B"), (1, 2, 1, 2, "A", "A"), (2, 2, 1, 2, "B", "A"), (2, 3, 2, 1, "C", None), (3, 3, 2, 3, "", "C")] * 2)]
+    e = spark.createDataFrame(events, "style_id long, order_id long, line long, factory_id long, customer_id long, category string, date string, party_from string, party_to string")
+    made, factories = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "style_id long, factory_id long"), spark.createDataFrame([(1, "A", 1), (2, "C", 1)], "factory_id long, name string, dept_id long")
+    stats = G.graph_stats(e, made, factories, spark.createDataFrame([(1, "d")], "dept_id long, dept string"))
+    got = {r.label: r.n for r in stats.where("kind = 'edge' AND label <> 'total'").collect()}
+    assert got == {k: d.count() for k, d in G.edges(e, made, factories).items()}
+    assert "array_intersect" not in (plan := stats._jdf.queryExecution().analyzed().toString()) and "lead(" not in plan
+    assert {r.label: r.n for r in stats.where("kind = 'node'").collect()} == {"Event": 12, "Style": 3, "Person": 3, "Category": 2, "Email": 3, "Factory": 2, "Department": 1, "Customer": 3, "total": 29}
+    assert {r.n for r in G.graph_stats(e.limit(0), made, factories, made).where("label IN ('Event', 'Style', 'FOLLOWS', 'COLLABORATED_WITH')").collect()} == {0}

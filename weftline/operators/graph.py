@@ -60,12 +60,34 @@ def edges(events: DataFrame, style_factory: DataFrame, factories: DataFrame) ->
 
 
 def graph_stats(events: DataFrame, style_factory: DataFrame, factories: DataFrame, departments: DataFrame) -> DataFrame:
-    """(kind, label, n): nodes by label, edges by relation, and the totals of both."""
+    """(kind, label, n): nodes by label, edges by relation, and the totals of both.
+
+    What is one for one with events is counted once; what only needs to be told apart is so by keys: events by style give
+    the edges between styles and their categories, customers and people, events by party the pairs of people. Numbers of
+    collaborations are those of pairs, whatever styles these have in common.
+    """
+    e = events.select(*SEQ, "category", "customer_id", "party_from", "party_to")
+    one = lambda kind, label, n: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
+    tell = lambda rows, *ns: rows.select(F.explode(F.array(*ns)).alias("r")).select("r.*")
+    event = e.agg(F.count(F.lit(1)).alias("n"))
+    who = rollups.parties(e.select("style_id", "party_from", "party_to").repartition("style_id")).groupBy("style_id", "person").agg(F.lit(1).alias("x"))
+    kinds = e.groupBy("style_id", "category").agg(F.count(F.lit(1)).alias("k"))
+    by_kind = kinds.groupBy("style_id").agg(F.sum(F.col("k") - 1).alias("follows"), F.lit(1).alias("x"))
+    bought = e.select("style_id", "customer_id").repartition("style_id").distinct()
+    met = rollups.pairs(e.select("party_from", "party_to"))
+    counted = [
+        tell(event, *[one("node" if n == "Event" else "edge", n, F.col("n")) for n in ("Event", "BELONGS_TO", "HAS_CATEGORY", "FROM_EMAIL")]),
+        tell(by_kind.agg(F.count("x").alias("styles"), F.sum("follows").alias("f")), one("node", "Style", F.col("styles")), one("edge", "FOLLOWS", F.col("f"))),
+        tell(who.agg(F.count("x").alias("n")), one("edge", "INVOLVED_IN", F.col("n"))),
+        tell(bought.agg(F.count(F.lit(1)).alias("n")), one("edge", "HAS_STYLE", F.col("n")), one("edge", "ORDERED_BY", F.col("n"))),
+        tell(met.agg(F.count(F.lit(1)).alias("n")), one("edge", "COLLABORATED_WITH", 2 * F.col("n"))),
+    ]
     nodes = {
-        "Event": events, "Style": events.select("style_id").distinct(), "Person": rollups.parties(events).select("person").distinct(), "Category": events.select("category").distinct(),
+        "Person": rollups.parties(e.select("party_from", "party_to")).select("person").distinct(), "Category": events.select("category").distinct(),
         "Email": events.select("order_id").distinct(), "Factory": factories, "Department": departments, "Customer": events.select("customer_id").distinct(),
     }
-    counted = [d.agg(F.lit(k).alias("kind"), F.lit(n).alias("label"), F.count(F.lit(1)).alias("n")) for k, ds in (("node", nodes), ("edge", edges(events, style_factory, factories))) for n, d in ds.items()]
+    rest = {k: v for k, v in edges(events, style_factory, factories).items() if k in ("PARTICIPATED_IN", "PRODUCED_BY", "BELONGS_TO_DEPT", "REPORTS_TO", "MANAGES")}
+    counted += [d.agg(F.lit(k).alias("kind"), F.lit(n).alias("label"), F.count(F.lit(1)).alias("n")) for k, ds in (("node", nodes), ("edge", rest)) for n, d in ds.items()]
     out = counted[0]
     for d in counted[1:]:
         out = out.unionByName(d)
