@@ -64,3 +64,13 @@ def test_graph_stats_count_what_edges_hold(spark):
     assert "array_intersect" not in (plan := stats._jdf.queryExecution().analyzed().toString()) and "lead(" not in plan
     assert {r.label: r.n for r in stats.where("kind = 'node'").collect()} == {"Event": 12, "Style": 3, "Person": 3, "Category": 2, "Email": 3, "Factory": 2, "Department": 1, "Customer": 3, "total": 29}
     assert {r.n for r in G.graph_stats(e.limit(0), made, factories, made).where("label IN ('Event', 'Style', 'FOLLOWS', 'COLLABORATED_WITH')").collect()} == {0}
+
+
+def test_customer_details_send_a_set_to_a_block(spark, monkeypatch):
+    n = 300  # customers of one style, in two blocks: its set goes to both, not to each customer
+    events = spark.createDataFrame([(c, 1, c % 7) for c in range(n)], "customer_id long, style_id long, factory_id long")
+    monkeypatch.setattr(G, "BLOCK", 200)
+    found = G.customer_details(events, spark.createDataFrame([(1, 3)], "style_id long, factory_id long"))
+    assert {(r.styles, r.factory_ids, r.people) for r in found.collect()} == {(1, "3", n + 7)} and found.count() == n
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and plan.count("Join") == 1
