@@ -4,8 +4,10 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from weftline.functions import templates as P
 from weftline.operators import collection as C
 from weftline.operators import graph as G
+from weftline.operators import rollups as A
 
 from weftline.plans import built as Q
 from weftline.plans.asked import engine
@@ -74,3 +76,13 @@ def test_customer_details_send_a_set_to_a_block(spark, monkeypatch):
     assert {(r.styles, r.factory_ids, r.people) for r in found.collect()} == {(1, "3", n + 7)} and found.count() == n
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 2 and plan.count("Join") == 1
+
+
+def test_answer_details_deal_events_out_once(spark):
+    events = spark.createDataFrame([(1, n, 1, 1, "RF" if n < 9 else None, "1-URGENT", "1996-01-%02d" % (n + 1), n - 4 if n < 7 else None) for n in range(12)] + [(2, 1, 1, 1, "AF", "5-LOW", "1996-02-01", -3)], "style_id long, order_id long, line long, factory_id long, category string, event_type string, date string, delay_days long")
+    people = spark.createDataFrame([(1, "A", "participant", 3), (1, "B", "participant", 4), (2, "A", "participant", 1)], "style_id long, person string, role string, event_count long")
+    found = P.details(A.style_rollup(events), people, events)
+    said = {r.style_id: r.answer for r in found.collect()}
+    assert said[2] == "## 📋 款号 2\n\n当前阶段：**AF** | 事件数：1 | 最后更新：1996-02-01 | ⚠️ 累计延期：-3 天\n\n**相关人员**：A（participant）\n\n**阶段分布**：\n- AF：1 个事件\n\n**最近事件**：\n- 1996-02-01 AF：5-LOW [延期-3天]\n"
+    assert said[1].split("**相关人员**：")[1] == "B（participant）, A（participant）\n\n**阶段分布**：\n- RF：9 个事件\n\n**最近事件**：\n- 1996-01-09 RF：1-URGENT\n- 1996-01-08 RF：1-URGENT\n\n**延期事件**（2 个）：\n- 1-URGENT（延期2天）\n- 1-URGENT（延期1天）\n"
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2

@@ -264,18 +264,19 @@ def delay_analysis(events: DataFrame, key: str = "style_id") -> DataFrame:
 
 def details(styles: DataFrame, people: DataFrame, events: DataFrame, seq: tuple[str, ...] = ("order_id", "line", "factory_id"), key: str = "style_id") -> DataFrame:
     """(key, answer): a style's state, its people(key, person, role, event_count), its events by category, the newest of
-    them and the latest of them."""
-    said = field(events, "description", "event_type")
-    by = events.groupBy(key, "category").agg(F.count(F.lit(1)).alias("k"))
-    late = events.where("delay_days > 0")
+    them and the latest of them. Events are dealt out by key once, for all that is told of them."""
+    said = field(events, "description", "event_type").alias("said")
+    mine = events.select(key, "category", "date", "delay_days", *seq, said).repartition(key)
+    place = lambda *order: F.row_number().over(Window.partitionBy(key).orderBy(*order, *seq))
+    placed = mine.withColumns({"new": place(F.col("date").desc()), "worst": place(F.col("delay_days").desc())})
     delay = F.when(F.coalesce("delay_days", F.lit(0)) != 0, F.format_string(" [延期%d天]", "delay_days")).otherwise("")
-    parts = [
-        _body(_ranked(people, key, [F.col("event_count").desc(), "person"], FEW), key, F.concat("person", F.lit("（"), "role", F.lit("）")), "people"),
-        _body(_ranked(by, key, [F.col("k").desc(), "category"]), key, F.concat(F.lit("- "), "category", F.format_string("：%d 个事件", "k")), "stages"),
-        _body(_ranked(events, key, [F.col("date").desc(), *seq], RECENT), key, F.concat(F.lit("- "), "date", F.lit(" "), "category", F.lit("："), said, delay), "newest"),
-        _body(_ranked(late, key, [F.col("delay_days").desc(), *seq], RECENT), key, F.concat(F.lit("- "), said, F.format_string("（延期%d天）", "delay_days")), "late"),
-        _size(late, key, "late_n"),
-    ]
+    newest = F.when(F.col("new") <= RECENT, F.struct("new", F.concat(F.lit("- "), "date", F.lit(" "), "category", F.lit("："), "said", delay).alias("line")))
+    late = F.when((F.col("delay_days") > 0) & (F.col("worst") <= RECENT), F.struct("worst", F.concat(F.lit("- "), "said", F.format_string("（延期%d天）", "delay_days")).alias("line")))
+    by = placed.groupBy(key, "category").agg(F.count(F.lit(1)).alias("k"), F.collect_list(newest).alias("newest"), F.collect_list(late).alias("late"), F.count_if(F.col("delay_days") > 0).alias("late_n"))
+    stage = F.struct(-F.col("k"), "category", F.concat(F.lit("- "), "category", F.format_string("：%d 个事件", "k")).alias("line"))
+    joined = lambda rows: F.array_join(F.transform(F.array_sort(rows), lambda x: x["line"]), "\n")
+    told = by.groupBy(key).agg(joined(F.collect_list(stage)).alias("stages"), joined(F.flatten(F.collect_list("newest"))).alias("newest"), F.when(F.sum("late_n") > 0, joined(F.flatten(F.collect_list("late")))).alias("late"), F.nullif(F.sum("late_n"), F.lit(0)).alias("late_n"))
+    parts = [_body(_ranked(people, key, [F.col("event_count").desc(), "person"], FEW), key, F.concat("person", F.lit("（"), "role", F.lit("）")), "people"), told]
     both = styles
     for part in parts:
         both = both.join(part, key, "left")

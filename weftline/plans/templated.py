@@ -196,8 +196,8 @@ SELECT style_id, {_text(f"'## 📋 款号 ' || style_id || {_NL}", f"concat_ws('
     f"'**相关人员**：' || p.t || {_NL}", f"'**阶段分布**：' || {_NL} || c.t || {_NL}", f"'**最近事件**：' || {_NL} || n.t || {_NL}", f"'**延期事件**（' || ln || ' 个）：' || {_NL} || l || {_NL}")} AS answer FROM st JOIN p USING (style_id) JOIN c USING (style_id) JOIN n USING (style_id)"""
 )
 def answer_details(e, t):
-    people = A.person_style(e.events).withColumn("role", F.lit("participant"))
-    return P.details(A.style_rollup(_late(e.events), EV_SEQ), people, _late(e.events))
+    people = A.person_style(e.events.select("style_id", "party_from", "party_to").repartition("style_id")).withColumn("role", F.lit("participant"))
+    return P.details(A.style_rollup(_late(e.unnamed), EV_SEQ), people, _late(e.unnamed))
 
 
 #: Results of each shape: what they look like, and the query that they come from.
